@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
@@ -41,7 +43,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/braidlake-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    # the step runs once, here: its shuffle files can go as soon as it has ended
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _written.append((spark, path))
     release(spark)
     return spark.read.schema(df.schema).parquet(path)

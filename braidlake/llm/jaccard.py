@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -139,15 +140,27 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = batch.column(1).cast(pa.large_string()).cast(pa.large_binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze(t.as_py() or b"") for t in texts], pa.binary())], ["id", "text"])
+
+
+def _unpacked(column) -> pa.Array:
+    expand = zstandard.ZstdDecompressor().decompress
+    return pa.array([expand(z) for z in column.to_pylist()] if hasattr(column, "to_pylist") else [expand(bytes(z)) for z in column], pa.large_binary())
+
+
 def _verify(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = object(), np.zeros(0, np.uint64)
         for batch in batches:
             leaders, texts = batch.column(0).to_pylist(), batch.column(2)
             keep = []
-            for k, (leader, own) in enumerate(zip(leaders, _sets(batch.column(3), n), strict=True)):
+            for k, (leader, own) in enumerate(zip(leaders, _sets(_unpacked(batch.column(3)), n), strict=True)):
                 if leader != last:
-                    last, held = leader, next(_sets(texts.slice(k, 1), n))
+                    last, held = leader, next(_sets(_unpacked(texts.slice(k, 1)), n))
                 keep.append(similar(held, own, percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
@@ -156,7 +169,7 @@ def _verify(n: int, percent: int):
 
 def _block(n: int, percent: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sets = list(_sets(pa.array(rows["text"], pa.string()), n))
+        sets = list(_sets(_unpacked(rows["text"]), n))
         ids, comps, asks, holds = (rows[c].tolist() for c in ("id", "comp", "asks", "holds"))
         parent: dict = {}
 
@@ -197,15 +210,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     low = F.xxhash64("id").bitwiseAND(F.lit(0xFFFFFFFF))
     high = F.shiftrightunsigned(F.xxhash64("id"), 32)
     groups = (
-        keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(high).alias("s1"), F.sum(low).alias("s2"), F.min(F.struct("id", "n")).alias("first"))
+        keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(high).alias("s1"), F.sum(low).alias("s2"), F.min("id").alias("first"))
         .filter(F.col("m") > 1)
         .groupBy("m", "s1", "s2", "first").agg(F.min("key").alias("group"))
     )
     members = cut(keyed.join(groups, F.col("key") == F.col("group")).select("group", "m", "first", "id", "n"), "members")
-    fits = 100 * F.least("n", "first.n") >= percent * F.greatest("n", "first.n")
-    pairs = members.filter((F.col("id") != F.col("first.id")) & fits).select(F.col("first.id").alias("u"), F.col("id").alias("v")).distinct()
-    texts = rows.join(members.select("id").distinct(), "id", "left_semi")
-    texts = cut(texts, "texts")
+    leaders = members.filter(F.col("id") == F.col("first")).select(F.col("group").alias("led"), F.col("n").alias("first_n")).distinct()
+    fits = 100 * F.least("n", "first_n") >= percent * F.greatest("n", "first_n")
+    others = members.filter(F.col("id") != F.col("first")).join(leaders, F.col("group") == F.col("led"))
+    pairs = others.filter(fits).select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
+    # texts travel compressed
+    packed = rows.filter(F.col("id").isNotNull()).mapInArrow(_pack, f"id {kind}, text binary")
+    texts = cut(packed.join(members.select("id").distinct(), "id", "left_semi"), "texts")
     asked = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v").join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u")
     links = cut(asked.select("u", "v", "text_u", "text_v").mapInArrow(_verify(words, percent), f"u {kind}, v {kind}"), "links")
     found = connected_components(links, "u", "v")
@@ -214,10 +230,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = cut(labelled, "labelled")
     open_ = (
         labelled.filter(F.col("m") > 2)
-        .groupBy("group").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min(F.when(F.col("id") == F.col("first.id"), F.col("comp"))).alias("main"))
+        .groupBy("group").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min(F.when(F.col("id") == F.col("first"), F.col("comp"))).alias("main"))
         .filter(F.col("c1") != F.col("c2")).select(F.col("group").alias("g"), "main")
     )
-    rest = labelled.filter(F.col("id") != F.col("first.id")).join(open_, F.col("group") == F.col("g")).withColumn("minor", F.col("comp") != F.col("main"))
+    rest = labelled.filter(F.col("id") != F.col("first")).join(open_, F.col("group") == F.col("g")).withColumn("minor", F.col("comp") != F.col("main"))
     sizes = rest.groupBy("g").agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("minor").cast("long")).alias("some")).withColumnRenamed("g", "g2")
     sizes = sizes.filter((F.col("all") > 1) & (F.col("some") > 0))
     rest = rest.join(sizes, F.col("g") == F.col("g2"))
