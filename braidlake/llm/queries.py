@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from braidlake.llm import bpe, jaccard, mixing, quality, sharding, suffixes, topk
+from braidlake.llm import bpe, chat, counts, jaccard, licenses, mixing, quality, sharding, suffixes, topk
 from braidlake.llm.common import table
 
 W = r"[^\x20\x09-\x0D]+"
@@ -17,6 +17,20 @@ def op1_bpe_encoding(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"), path, keep_ids=False)
 
 
+def op2_chat_format(spark, sf_dir):
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op5_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return counts.edited_counts(table(spark, sf_dir, "documents"), None, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, redact=r"\d{4,}|[\w.+-]+@[\w.-]+")
+
+
+def op7_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_topk(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     return topk.top_k(rows, rows.filter(F.col("vec_id") % 50 == 0), 5)
@@ -44,7 +58,7 @@ def op10_sharding(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe_encoding, op3_exact_topk, op4_suffix_array_dedup, op6_quality_rules, op8_ngram_jaccard_join, op9_mixing_sources, op10_sharding)
+    for f in (op1_bpe_encoding, op2_chat_format, op3_exact_topk, op4_suffix_array_dedup, op5_token_counts, op6_quality_rules, op7_license_scan, op8_ngram_jaccard_join, op9_mixing_sources, op10_sharding)
 }
 
 _U = "((('0x' || substr(md5('leaf:{s}:' || doc_id::VARCHAR), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
@@ -56,6 +70,16 @@ def _tree_sql(shards: int) -> str:
     return f"(list_position([{draws}], list_min([{draws}])) - 1)::INTEGER"
 
 
+_LICENSES = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in pair)) for pair in sorted(licenses.TEXTS.items()))
+
+
+def _license(text: str) -> str:
+    out = rf"trim(regexp_replace(regexp_replace(lower({text}), '(?m)^\s*(copyright|\(c\)|©)[^\n]*$', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+    for a, b in licenses.SPELLINGS.items():
+        out = f"replace({out}, '{a}', '{b}')"
+    return f"sha256({out})"
+
+
 SQL = {
     "op3_exact_topk": """
         WITH v AS (
@@ -104,6 +128,11 @@ SQL = {
                NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (100 * (n_words - removed_words) < {quality.MIN_LEFT_PERCENT} * n_words) AS kept,
                removed_words
         FROM m""",
+    "op7_license_scan": f"""
+        WITH known AS (
+            SELECT digest, min(name) AS license_id FROM (SELECT name, {_license("body")} AS digest FROM (VALUES {_LICENSES}) v(name, body)) GROUP BY 1
+        )
+        SELECT doc_id, d.digest, license_id FROM (SELECT doc_id, {_license("coalesce(text, '')")} AS digest FROM documents) d LEFT JOIN known USING (digest)""",
     "op8_ngram_jaccard_join": rf"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{W}') AS w FROM documents

@@ -234,3 +234,47 @@ def test_sharding(spark, rows):
     df = sharding.assign(sharding.assign(spark.range(2000), F.col("id"), sharding.tree(4), "a"), F.col("id"), heavy, "b")
     assert df.filter("a <> b and b <> 2").count() == 0 and 900 < df.filter("b = 2").count() < 1100
     assert sharding.shard_documents(frame(spark, []), sharding.tree(8)).count() == 0
+
+
+def test_chat_repair(spark):
+    from itertools import product
+
+    from braidlake.llm import chat
+
+    for roles in product(["system", "user", "assistant", "odd"], repeat=4):
+        way = chat.repair(list(roles), 0)
+        costs = {m[:2] + m[3:]: m[2] for r in roles for m in chat.of(r)}
+        assert costs and chat.matrix(list(roles))[0].min() == sum(next(m[2] for m in chat.of(r) if (m[1], m[3], m[4]) == w and m[0] == p) for r, w, p in zip(roles, way, [0, *(w[0] for w in way)], strict=False))
+    turns = [(1, k, r, f"t{k}") for k, r in enumerate(["user", "user", "assistant", "system", "assistant", None, "user"])] + [(2, 0, "assistant", None), (None, None, "user", "x")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("place", F.lit(1))
+    whole = sorted(map(str, chat.format_chats(df).collect()))
+    assert whole == sorted(map(str, chat.format_chats(df, segment=2).collect())) and len(whole) == len(turns)
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_edited_counts(spark):
+    import public_tokenizers as public
+
+    from braidlake.llm import counts
+
+    pieces, count = counts.counter(public.path("byte_bpe_50k.json"), public.PATTERN)
+    r = random.Random(8)
+    for trial in range(60):
+        text = "".join(r.choice(["word ", " ", "\n", "12", "'s", "é", "!?", "long" * 9]) for _ in range(r.choice([0, 3, 900])))
+        tree = counts.CountTree(text, pieces, count)
+        for _ in range(5):
+            a = r.randint(0, len(text))
+            b, new = min(len(text), a + r.choice([0, 1, 30, 400])), r.choice(["", " ", "x", "12 y", "new text " * 5])
+            tree.edit(a, b, new)
+            text = text[:a] + new + text[b:]
+            assert tree.text() == text and tree.total == sum(map(count, pieces(text))), trial
+    df = frame(spark, [(1, "call 123456 now", "s"), (2, None, "s"), (None, "", "s")])
+    got = {x.doc_id: x for x in counts.edited_counts(df, None, public.path("byte_bpe_50k.json"), public.PATTERN, redact=r"\d{4,}").collect()}
+    assert got[1].n_edits == 1 and got[1].n_tokens_edited == sum(map(count, pieces("call 0 now"))) and got[2].n_tokens == 0
+
+
+def test_licenses(spark):
+    from braidlake.llm import licenses
+
+    rows = [(1, "Copyright 2020 A\nRELEASED under the MIT Licence!", "s"), (2, "other", "s"), (3, None, "s"), (4, "© x", "s")]
+    assert {x.doc_id: x.license_id for x in licenses.scan(frame(spark, rows)).collect()} == {1: "MIT-notice", 2: None, 3: None, 4: None}
