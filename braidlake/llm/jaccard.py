@@ -7,8 +7,8 @@ share a rare token or two frequent tokens of one group (of n - t + 1 tokens beyo
 of each group can be shared without a pair). So rare tokens are indexed one by one and frequent tokens by pairs of a group,
 and a group of documents under a key is small unless its documents are alike.
 
-Which tokens count as frequent decides the cost alone, never the result. Documents under a common key are compared with the first of them;
-where this leaves unconnected documents under a key, these are compared with all others under it, in blocks.
+Which tokens count as frequent decides the cost alone, never the result. Documents under a common key are compared with the first of them, then, where
+documents of several components are left, with the next, for some rounds; what these leave is compared in blocks.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from braidlake.llm.textbytes import binary, mix, shingle_sets
 SHINGLE_WORDS, PERCENT = 4, 85
 #: A token is counted where a task meets it LOCAL times among FLUSH tokens, and frequent from FREQUENT such counts; at most MOST_FREQUENT are told apart.
 LOCAL, FLUSH, FREQUENT, MOST_FREQUENT = 8, 1 << 22, 128, 1 << 16
-#: Documents in a block of the comparison of what the first round left.
-BLOCK = 64
+#: Rounds of comparisons with a first document, and documents in a block of the comparison of what these leave.
+ROUNDS, BLOCK = 4, 64
 
 
 def needed(n: int, percent: int) -> int:
@@ -215,25 +215,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .groupBy("m", "s1", "s2", "first").agg(F.min("key").alias("group"))
     )
     members = cut(keyed.join(groups, F.col("key") == F.col("group")).select("group", "m", "first", "id", "n"), "members")
-    leaders = members.filter(F.col("id") == F.col("first")).select(F.col("group").alias("led"), F.col("n").alias("first_n")).distinct()
-    fits = 100 * F.least("n", "first_n") >= percent * F.greatest("n", "first_n")
-    others = members.filter(F.col("id") != F.col("first")).join(leaders, F.col("group") == F.col("led"))
-    pairs = others.filter(fits).select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
     # texts travel compressed
     packed = rows.filter(F.col("id").isNotNull()).mapInArrow(_pack, f"id {kind}, text binary")
     texts = cut(packed.join(members.select("id").distinct(), "id", "left_semi"), "texts")
-    asked = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v").join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u")
-    links = cut(asked.select("u", "v", "text_u", "text_v").mapInArrow(_verify(words, percent), f"u {kind}, v {kind}"), "links")
-    found = connected_components(links, "u", "v")
-    # what the first round left: keys under which documents of several components stand
-    labelled = members.join(found, F.col("id") == F.col("node"), "left").select("group", "m", "first", "id", "n", F.coalesce("component", "id").alias("comp"))
-    labelled = cut(labelled, "labelled")
-    open_ = (
-        labelled.filter(F.col("m") > 2)
-        .groupBy("group").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min(F.when(F.col("id") == F.col("first"), F.col("comp"))).alias("main"))
-        .filter(F.col("c1") != F.col("c2")).select(F.col("group").alias("g"), "main")
-    )
-    rest = labelled.filter(F.col("id") != F.col("first")).join(open_, F.col("group") == F.col("g")).withColumn("minor", F.col("comp") != F.col("main"))
+    left = members.withColumn("comp", F.col("id"))
+    links, tested, found = None, None, None
+    for _ in range(ROUNDS):
+        # the first document under each key against the others of other components; then it leaves the key
+        leaders = left.filter(F.col("id") == F.col("first")).select(F.col("group").alias("led"), F.col("n").alias("first_n"), F.col("comp").alias("first_comp")).distinct()
+        fits = (100 * F.least("n", "first_n") >= percent * F.greatest("n", "first_n")) & (F.col("comp") != F.col("first_comp"))
+        others = left.filter(F.col("id") != F.col("first")).join(leaders, F.col("group") == F.col("led"))
+        pairs = others.filter(fits).select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
+        pairs = cut(pairs.join(tested, ["u", "v"], "left_anti") if tested is not None else pairs, "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        asked = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v").join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u")
+        new = cut(asked.select("u", "v", "text_u", "text_v").mapInArrow(_verify(words, percent), f"u {kind}, v {kind}"), "links")
+        links = new if links is None else links.unionByName(new)
+        found = connected_components(links, "u", "v")
+        left = left.filter(F.col("id") != F.col("first")).drop("comp", "first").join(found, F.col("id") == F.col("node"), "left")
+        left = left.select("group", "m", "id", "n", F.coalesce("component", "id").alias("comp"))
+        open_ = left.groupBy("group").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("id").alias("first")).filter(F.col("c1") != F.col("c2"))
+        left = cut(left.join(open_.select(F.col("group").alias("g"), "first"), F.col("group") == F.col("g")).drop("g"), "left")
+        if left.isEmpty():
+            break
+    # what these rounds left: keys under which documents of several components stand
+    mains = left.filter(F.col("id") == F.col("first")).select(F.col("group").alias("g"), F.col("comp").alias("main")).distinct()
+    rest = left.join(mains, F.col("group") == F.col("g")).withColumn("minor", F.col("comp") != F.col("main"))
     sizes = rest.groupBy("g").agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("minor").cast("long")).alias("some")).withColumnRenamed("g", "g2")
     sizes = sizes.filter((F.col("all") > 1) & (F.col("some") > 0))
     rest = rest.join(sizes, F.col("g") == F.col("g2"))
