@@ -17,7 +17,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    kept = quality.quality_rules(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
+    kept = cut(quality.quality_rules(docs), "verdicts").filter("kept").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(COLUMNS)
 
 
