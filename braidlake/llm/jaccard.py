@@ -9,6 +9,10 @@ and a group of documents under a key is small unless its documents are alike.
 
 Which tokens count as frequent decides the cost alone, never the result. Documents under a common key are compared with the first of them, then, where
 documents of several components are left, with the next, for some rounds; what these leave is compared in blocks.
+
+Before texts travel to a comparison, parities decide: bit h mod m of a set's parity says whether an odd number of its tokens
+hash there, so two sets differ in at least as many tokens as their parities differ in bits. Pairs that differ in more than similar
+sets may are dropped on that proof alone; the rest is compared by whole sets.
 """
 
 from __future__ import annotations
@@ -79,6 +83,27 @@ def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT
     return np.concatenate(out)
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """The parity of a set in 1 to 2 bits a token, at least 64; one of twice the bits folds into it by exclusive or of its halves."""
+    bits = max(64, 2 << (max(len(tokens), 1).bit_length() - 1))
+    places = (mix(tokens ^ np.uint64(0x8EBC6AF09C88C6E3)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def likely(a: int, n_a: int, bytes_a: int, b: int, n_b: int, bytes_b: int, percent: int) -> bool:
+    """False only for sets that sizes and parities (as little-endian integers) prove not similar."""
+    if 100 * min(n_a, n_b) < percent * max(n_a, n_b):
+        return False
+    while bytes_a > bytes_b:
+        bytes_a >>= 1
+        a = (a >> (8 * bytes_a)) ^ (a & ((1 << (8 * bytes_a)) - 1))
+    while bytes_b > bytes_a:
+        bytes_b >>= 1
+        b = (b >> (8 * bytes_b)) ^ (b & ((1 << (8 * bytes_b)) - 1))
+    both = -(-percent * (n_a + n_b) // (100 + percent))
+    return (a ^ b).bit_count() <= n_a + n_b - 2 * both
+
+
 def _sets(column, n: int):
     data, bounds = binary(column)
     return shingle_sets(data, bounds, n)
@@ -113,26 +138,27 @@ def frequent_tokens(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def indexed(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(id, n, f1, f2, keys) of every row: the size of its set, the set's fingerprint in 128 bits, its keys."""
+    """(id, n, f1, f2, parity, keys) of every row: the size of its set, the set's fingerprint in 128 bits, its parity, its keys."""
 
     told = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, one, two, keys = [], [], [], []
+            sizes, one, two, odd, keys = [], [], [], [], []
             for tokens in _sets(batch.column(1), n):
                 sizes.append(len(tokens))
                 one.append(int(np.bitwise_xor.reduce(mix(tokens ^ np.uint64(0xA0761D6478BD642F))) if len(tokens) else 0))
                 two.append(int(np.add.reduce(mix(tokens + np.uint64(0xE7037ED1A0B428DB))) if len(tokens) else 0))
+                odd.append(parity(tokens))
                 keys.append(prefix_keys(tokens, told.value, percent).view(np.int64))
             starts = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             whole = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), whole(one), whole(two), lists], ["id", "n", "f1", "f2", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), whole(one), whole(two), pa.array(odd, pa.binary()), lists], ["id", "n", "f1", "f2", "parity", "keys"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(sketched, f"id {kind}, n long, f1 long, f2 long, keys array<long>")
+    return docs.select("id", "text").mapInArrow(sketched, f"id {kind}, n long, f1 long, f2 long, parity binary, keys array<long>")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -152,6 +178,35 @@ def _unpacked(column) -> pa.Array:
     return pa.array([expand(z) for z in column.to_pylist()] if hasattr(column, "to_pylist") else [expand(bytes(z)) for z in column], pa.large_binary())
 
 
+def _likely_pairs(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_u, p_u, n_v, p_v = (batch.column(k).to_pylist() for k in range(2, 6))
+            number = int.from_bytes
+            keep = [
+                likely(number(p, "little"), a, len(p), number(q, "little"), b, len(q), percent) for a, p, b, q in zip(n_u, p_u, n_v, p_v, strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _likely_block(percent: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        odd = [bytes(x) for x in rows["parity"]]
+        bits = [int.from_bytes(x, "little") for x in odd]
+        comps, asks, holds, n = (rows[c].tolist() for c in ("comp", "asks", "holds", "n"))
+        keep = [False] * len(n)
+        held = [j for j in range(len(n)) if holds[j]]
+        for i in [i for i in range(len(n)) if asks[i]]:
+            for j in held:
+                if comps[i] != comps[j] and not (keep[i] and keep[j]) and likely(bits[i], n[i], len(odd[i]), bits[j], n[j], len(odd[j]), percent):
+                    keep[i] = keep[j] = True
+        return rows.loc[np.array(keep, dtype=bool), ["g", "row", "col", "id", "comp", "holds", "asks"]]
+
+    return run
+
+
 def _verify(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = object(), np.zeros(0, np.uint64)
@@ -218,6 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # texts travel compressed
     packed = rows.filter(F.col("id").isNotNull()).mapInArrow(_pack, f"id {kind}, text binary")
     texts = cut(packed.join(members.select("id").distinct(), "id", "left_semi"), "texts")
+    parities = cut(base.filter(F.col("id").isNotNull()).select("id", "n", "parity").join(members.select("id").distinct(), "id", "left_semi"), "parities")
     left = members.withColumn("comp", F.col("id"))
     links, tested, found = None, None, None
     for _ in range(ROUNDS):
@@ -226,7 +282,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         fits = (100 * F.least("n", "first_n") >= percent * F.greatest("n", "first_n")) & (F.col("comp") != F.col("first_comp"))
         others = left.filter(F.col("id") != F.col("first")).join(leaders, F.col("group") == F.col("led"))
         pairs = others.filter(fits).select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
-        pairs = cut(pairs.join(tested, ["u", "v"], "left_anti") if tested is not None else pairs, "pairs")
+        pairs = pairs.join(tested, ["u", "v"], "left_anti") if tested is not None else pairs
+        sides = pairs.join(parities.select(F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("parity").alias("p_v")), "v")
+        sides = sides.join(parities.select(F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("parity").alias("p_u")), "u")
+        pairs = cut(sides.select("u", "v", "n_u", "p_u", "n_v", "p_v").mapInArrow(_likely_pairs(percent), f"u {kind}, v {kind}").distinct(), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         asked = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v").join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u")
         new = cut(asked.select("u", "v", "text_u", "text_v").mapInArrow(_verify(words, percent), f"u {kind}, v {kind}"), "links")
@@ -252,6 +311,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     askers = rest.filter("minor").withColumn("row", F.pmod(F.xxhash64(F.lit(1), "id"), down)).withColumn("col", upto(across))
     askers = askers.select("g", "row", "col", "id", "comp", F.lit(False).alias("holds"), F.lit(True).alias("asks"))
     units = holders.unionByName(askers).groupBy("g", "row", "col", "id", "comp").agg(F.max("holds").alias("holds"), F.max("asks").alias("asks"))
+    # texts go only to blocks in which a document has a likely partner
+    sketched = units.join(parities, "id").select("g", "row", "col", "id", "comp", "holds", "asks", "n", "parity").groupBy("g", "row", "col")
+    shape = f"g {members.schema['group'].dataType.simpleString()}, row long, col long, id {kind}, comp {kind}, holds boolean, asks boolean"
+    units = cut(sketched.applyInPandas(_likely_block(percent), shape).distinct(), "units")
     tested = units.join(texts, "id").groupBy("g", "row", "col").applyInPandas(_block(words, percent), f"u {kind}, v {kind}")
     more = cut(tested, "more_links")
     if not more.isEmpty():

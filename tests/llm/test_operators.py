@@ -116,6 +116,22 @@ def test_prefixes_share_a_key():
             assert np.intersect1d(jaccard.prefix_keys(a, often), jaccard.prefix_keys(b, often)).size, trial
 
 
+def test_parities_never_part_similar_sets():
+    r = np.random.default_rng(5)
+    close = far = 0
+    for trial in range(1500):
+        n = int(r.integers(1, 600))
+        a = r.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate((a[int(r.integers(0, max(1, n // 6))) :], r.integers(0, 1 << 63, int(r.integers(0, n // 6 + 2))).astype(np.uint64)))
+        c = r.integers(0, 1 << 63, len(a)).astype(np.uint64)
+        sides = [(int.from_bytes(jaccard.parity(x), "little"), len(x), len(jaccard.parity(x))) for x in (a, b, c)]
+        if jaccard.similar(a, b, 85):
+            close += 1
+            assert jaccard.likely(*sides[0], *sides[1], 85) and jaccard.likely(*sides[1], *sides[0], 85), trial
+        far += n >= 50 and not jaccard.likely(*sides[0], *sides[2], 85)
+    assert close > 300 and far > 1200
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 50), (100, 101), (7, 7)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(chain, "a long, b long"), "a", "b").collect()))
