@@ -22,8 +22,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id."""
-    groups = jaccard.near_duplicates(docs)
+    """Of each group of linked documents the one with the smallest id; links: shingles of five words, a similarity of 0.8 or more."""
+    groups = jaccard.near_duplicates(docs, words=5, percent=80)
     first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(COLUMNS)
 
@@ -41,8 +41,9 @@ def repeated_string_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    mixed = mixing.mix_sources(docs).filter(F.col("copies") > 0).select("unit", "copies").distinct()
-    rows = docs.withColumn("__unit", F.xxhash64("doc_id", "text")).join(mixed, F.col("__unit") == F.col("unit"))
+    mixed = mixing.mix_sources(docs).filter(F.col("copies") > 0).select("unit", F.col("doc_id").alias("__id"), "copies").distinct()
+    rows = docs.withColumn("__unit", F.xxhash64("doc_id", "text"))
+    rows = rows.join(mixed, (F.col("__unit") == F.col("unit")) & F.col("doc_id").eqNullSafe(F.col("__id")))
     return rows.withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(COLUMNS)
 
 
