@@ -29,7 +29,9 @@ from braidlake.llm.textbytes import PrefixHash, binary, mix, slices
 #: A chunk ends where the low bits of the hash of the last WINDOW bytes are zero: after 2^CUT_BITS bytes on average.
 WINDOW, CUT_BITS = 16, 10
 #: Bytes of chunk results, and number of words, that a task keeps.
-KEPT_BYTES, KEPT_WORDS = 64 << 20, 600_000
+KEPT_BYTES, KEPT_WORDS = 32 << 20, 300_000
+#: Bytes that are cut, and bytes that are encoded, at once: whole rows, one at least.
+CUT_SLICE, ENCODE_SLICE = 1 << 19, 1 << 20
 
 _LETTERS = "".join(chr(c) for c in range(0x21, 0x180) if unicodedata.category(chr(c))[0] == "L")
 _DIGITS = "".join(chr(c) for c in range(0x21, 0x180) if unicodedata.category(chr(c))[0] == "N")
@@ -190,7 +192,7 @@ def cut_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def cut_rows(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[list[int], int]]:
     """For each row where its chunks end, its own end last, and the least hash among its cuts (of its whole bytes if none)."""
-    for a, b in slices(bounds, 2 << 20):
+    for a, b in slices(bounds, CUT_SLICE):
         part = data[bounds[a] : bounds[b]]
         places, h = cut_places(part)
         for k in range(a, b):
@@ -225,7 +227,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
             data, bounds = binary(batch.column(1))
             n, kept, digests, decoded = [], [], [], []
             cuts = [c for c, _ in cut_rows(data, bounds)]
-            every = (x for a, b in slices(bounds, 4 << 20) for x in own.encode([data[bounds[k] : bounds[k + 1]].tobytes() for k in range(a, b)], cuts[a:b]))
+            every = (x for a, b in slices(bounds, ENCODE_SLICE) for x in own.encode([data[bounds[k] : bounds[k + 1]].tobytes() for k in range(a, b)], cuts[a:b]))
             for ids in every:
                 n.append(len(ids) // 4)
                 kept.append(ids if keep_ids else None)
