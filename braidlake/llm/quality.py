@@ -15,6 +15,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 LINE_DOCS, LINE_PERCENT = 5, 10
 #: A document is depleted when fewer words than this share are left without boilerplate lines.
 MIN_LEFT_PERCENT = 50
+VERDICT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
 def base_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,24 +62,28 @@ def normal_line(line):
     return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
 
 
+def host_hash(host_col: str):
+    """Column: a hash of the host; null is a host."""
+    return F.xxhash64(F.coalesce(F.col(host_col).cast("string"), F.lit("\x00null")))
+
+
 def line_verdicts(docs: DataFrame, host_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Words that boilerplate lines hold, for each document with any: (__doc, __text, removed_words).
+    """What boilerplate lines hold, for each document with any: (__doc, __host, __text, removed_words, removed_lines).
 
     Lines are compared by a hash of their normal form within a host (null is a host). A line's documents are counted as
     distinct texts, so exact copies alone never make their own lines boilerplate. The document of smallest id keeps the
-    line, so no content is lost from the host altogether.
+    line, so no content is lost from the host altogether. ``removed_lines`` are places in the text split at line ends, from 0.
     """
-    host = F.xxhash64(F.coalesce(F.col(host_col).cast("string"), F.lit("\x00null")))
     rows = docs.select(
         F.col(id_col).alias("__doc"),
-        host.alias("__host"),
+        host_hash(host_col).alias("__host"),
         F.xxhash64(F.col(text_col)).alias("__text"),
-        F.filter(F.split(F.col(text_col), "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("__lines"),
+        F.split(F.col(text_col), "\n").alias("__lines"),
     )
-    lines = rows.select("__doc", "__host", "__text", F.explode("__lines").alias("__line")).select(
-        "__doc", "__host", "__text", F.xxhash64("__host", normal_line(F.col("__line"))).alias("__key"), n_words(F.col("__line")).alias("__w")
+    lines = rows.select("__doc", "__host", "__text", F.posexplode("__lines").alias("__at", "__line")).filter(F.col("__line").rlike(r"[^\x20\x09-\x0D]"))
+    lines = lines.select(
+        "__doc", "__host", "__text", "__at", F.xxhash64("__host", normal_line(F.col("__line"))).alias("__key"), n_words(F.col("__line")).alias("__w")
     )
-    lines = lines.groupBy("__host", "__key", "__text", "__doc").agg(F.sum("__w").alias("__w"))
     hosts = (
         rows.groupBy("__host", "__text").agg(F.lit(1).alias("__one")).groupBy("__host").agg(F.count(F.lit(1)).alias("__docs"))
         .withColumnRenamed("__host", "__of")
@@ -96,22 +101,41 @@ def line_verdicts(docs: DataFrame, host_col: str, id_col: str = "doc_id", text_c
     return (
         lines.join(over, F.col("__key") == F.col("__over"))
         .filter(~F.col("__doc").eqNullSafe(F.col("__first")))
-        .groupBy("__doc", "__text").agg(F.sum("__w").alias("removed_words"))
+        .groupBy("__doc", "__host", "__text").agg(F.sum("__w").alias("removed_words"), F.collect_set("__at").alias("removed_lines"))
     )
 
 
-def quality_rules(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Judge every document by the base rules and by what boilerplate lines of its host leave of it.
+def without_lines(text, removed):
+    """Column: a text without the lines at the places ``removed``; all of it where that is null."""
+    joined = lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed), lambda i: F.get(lines, i)), "\n")
+    return F.when(removed.isNull(), text).otherwise(F.get(F.transform(F.array(F.split(text, "\n")), joined), 0))
 
-    Returns ``docs``' id with the base metrics, base_failed, removed_words and kept. Empty and null texts have no words and
-    fail the base rules; rows that repeat another are judged alike; an empty table gives an empty result.
-    """
-    base = base_metrics(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__t")), "doc_id", "__t")
-    base = base.withColumn("__th", F.xxhash64("__t")).drop("__t")
+
+def judged(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of quality_rules but kept_text, with removed_lines, __host, __th (a hash of the text) and the text as __t."""
+    base = base_metrics(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__t"), host_hash(host_col).alias("__h")), "doc_id", "__t")
+    base = base.withColumn("__th", F.xxhash64("__t"))
     removed = line_verdicts(docs, host_col, id_col, text_col)
-    df = base.join(removed, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__th") == F.col("__text")), "left")
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__th") == F.col("__text")) & (F.col("__h") == F.col("__host"))
+    df = base.join(removed, same, "left").drop("__host").withColumnRenamed("__h", "__host")
     df = df.withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
     depleted = 100 * (F.col("n_words") - F.col("removed_words")) < MIN_LEFT_PERCENT * F.col("n_words")
-    return df.withColumn("kept", ~F.col("base_failed") & ~depleted).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words"
-    )
+    return df.withColumn("kept", ~F.col("base_failed") & ~depleted).select(*VERDICT, "removed_lines", "__host", "__th", "__t")
+
+
+def quality_rules(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Judge every document by the base rules and by what boilerplate lines of its host leave of it, and remove those lines.
+
+    Returns ``docs``' id with the base metrics (of the whole text), base_failed, removed_words, kept, and kept_text: the text
+    without its boilerplate lines. Empty and null texts have no words and fail the base rules; rows that repeat another are
+    judged alike; an empty table gives an empty result.
+    """
+    df = judged(docs, host_col, id_col, text_col)
+    return df.select(*VERDICT, without_lines(F.coalesce("__t", F.lit("")), F.col("removed_lines")).alias("kept_text"))
+
+
+def kept_rows(docs: DataFrame, verdicts: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose own id, host and text ``verdicts`` (of judged, better written before) keep, without boilerplate lines."""
+    kept = verdicts.filter("kept").select(F.col("doc_id").alias("__id"), F.col("__host").alias("__of"), F.col("__th").alias("__is"), "removed_lines").distinct()
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (host_hash(host_col) == F.col("__of")) & (F.xxhash64(text_col) == F.col("__is"))
+    return docs.join(kept, same).withColumn(text_col, without_lines(F.col(text_col), F.col("removed_lines"))).select(docs.columns)

@@ -16,9 +16,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    kept = cut(quality.quality_rules(docs), "verdicts").filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(COLUMNS)
+    """Documents that the quality rules keep, without the boilerplate lines of their source."""
+    verdicts = cut(quality.judged(docs).drop("__t"), "verdicts")
+    return quality.kept_rows(docs, verdicts).withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

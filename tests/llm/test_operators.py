@@ -199,6 +199,14 @@ def test_quality(spark, rows):
     assert (one.n_words, one.n_symbols, one.n_dup_lines, one.n_repeat_words) == (13, 3, 1, 6)
 
 
+def test_quality_removes_lines_above_the_limit(spark):
+    line = "Home  About\tContact"
+    rows = [(k, f"{words(k, 40)}\n{line.upper() if k % 2 else line}\n\n{words(50 + k, 30)}\n{line}\n", "h") for k in range(20)] + [(30, f"{words(30, 60)}\n{line}", "other"), (31, None, "h")]
+    got = {x.doc_id: x for x in quality.quality_rules(frame(spark, rows)).collect()}
+    assert all(got[k].kept_text == f"{words(k, 40)}\n\n{words(50 + k, 30)}\n" and got[k].removed_words == 6 and got[k].kept for k in range(1, 20))
+    assert got[0].kept_text == rows[0][1] and got[30].kept_text == rows[20][1] and got[31].kept_text == ""
+
+
 def test_mixing(spark):
     r = random.Random(2)
     rows = [(k, words(k, r.randint(0, 60)), r.choice(["a", "a", "a", "b", "c", "d", None])) for k in range(600)] + [(600, None, "a"), (None, "x y", "b"), (5, "p q", "e"), (5, "p q", "e")]

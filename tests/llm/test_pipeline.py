@@ -95,3 +95,11 @@ def test_stages_on_nothing(spark):
     for name, stage in corpus_pipeline.STAGES:
         frame = cut(stage(spark, frame, ""), name)
     assert frame.count() == 0
+
+
+def test_quality_stage_passes_texts_without_boilerplate_lines(spark):
+    texts = {k: f"{words(k, 60)}\nHome About Contact\n{words(40 + k, 9)}" for k in range(12)}
+    frame = spark.createDataFrame([(k, t, "en", None, len(t)) for k, t in texts.items()], SCHEMA)
+    got = {x.doc_id: x for x in corpus_pipeline.quality_stage(spark, frame, "").collect()}
+    want = {k: t if k == 0 else t.replace("Home About Contact\n", "") for k, t in texts.items()}
+    assert {k: (x.text, x.n_chars) for k, x in got.items()} == {k: (t, len(t)) for k, t in want.items()}
