@@ -41,7 +41,7 @@ def op4_suffix_array_dedup(spark, sf_dir):
 
 
 def op6_quality_rules(spark, sf_dir):
-    return quality.quality_rules(table(spark, sf_dir, "documents")).select(*quality.VERDICT)
+    return quality.quality_rules(table(spark, sf_dir, "documents"), line_docs=quality.LINE_DOCS, line_percent=quality.LINE_PERCENT).select(*quality.VERDICT)
 
 
 def op8_ngram_jaccard_join(spark, sf_dir):

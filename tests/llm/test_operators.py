@@ -207,6 +207,12 @@ def test_quality_removes_lines_above_the_limit(spark):
     assert got[0].kept_text == rows[0][1] and got[30].kept_text == rows[20][1] and got[31].kept_text == ""
 
 
+def test_quality_limit_does_not_grow_with_the_host(spark):
+    rows = [(k, words(k, 60) + ("\nread more here" if k < 8 else "\nsix only" if k < 14 else ""), "h") for k in range(200)]
+    got = {x.doc_id: x.removed_words for x in quality.quality_rules(frame(spark, rows)).collect()}
+    assert {k for k, n in got.items() if n} == set(range(1, 8)) and got[1] == 3
+
+
 def test_mixing(spark):
     r = random.Random(2)
     rows = [(k, words(k, r.randint(0, 60)), r.choice(["a", "a", "a", "b", "c", "d", None])) for k in range(600)] + [(600, None, "a"), (None, "x y", "b"), (5, "p q", "e"), (5, "p q", "e")]
