@@ -21,11 +21,33 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept_rows(docs, verdicts).withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
 
 
+def row_hash():
+    """Column: a hash of a row of documents, nulls told from values."""
+    return F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of those that are equal in all columns; only rows whose hash occurs twice travel to be compared."""
+    twice = cut(docs.select(row_hash().alias("__hash")).groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("__hash"), "repeated_rows")
+    if twice.isEmpty():
+        return docs.select(COLUMNS)
+    marked = docs.select(*COLUMNS, row_hash().alias("__own"))
+    same = F.col("__own") == F.col("__hash")
+    once = marked.join(twice, same, "left_anti").select(COLUMNS)
+    return cut(once.unionByName(marked.join(twice, same, "left_semi").select(COLUMNS).distinct()), "distinct_rows")
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; links: shingles of five words, a similarity of 0.8 or more."""
-    groups = jaccard.near_duplicates(docs, words=5, percent=80)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(COLUMNS)
+    """One row of each group of linked rows, that of the smallest id (a null id comes last); links: shingles of five words, a similarity of 0.8 or more.
+
+    Rows, not ids, are linked and kept: rows that repeat another or have a null id are copies like any others, and unlike texts of one id are
+    documents of their own. Rows are told apart by a 64-bit hash of their columns.
+    """
+    rows = one_of_each(docs).withColumn("__row", row_hash())
+    groups = jaccard.near_duplicates(rows, id_col="__row", words=5, percent=80).select(F.col("doc_id").alias("__member"), "component_id")
+    members = rows.select("__row", "doc_id").join(groups, F.col("__row") == F.col("__member"))
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first"))
+    return rows.join(first.select(F.col("first.__row").alias("__kept")), F.col("__row") == F.col("__kept"), "left_semi").select(COLUMNS)
 
 
 def repeated_string_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,3 +103,17 @@ def test_quality_stage_passes_texts_without_boilerplate_lines(spark):
     got = {x.doc_id: x for x in corpus_pipeline.quality_stage(spark, frame, "").collect()}
     want = {k: t if k == 0 else t.replace("Home About Contact\n", "") for k, t in texts.items()}
     assert {k: (x.text, x.n_chars) for k, x in got.items()} == {k: (t, len(t)) for k, t in want.items()}
+
+
+def test_stages_keep_one_row_of_repeated_rows_and_null_ids(spark):
+    """A rejected text shares its id with a kept one; whole rows repeat; copies have null ids."""
+    own, nulls, other, hot = words(60, 90), words(61, 90), words(62, 90), words(63, 90)
+    rows = [(1, own, "en", "a", 1), (1, own, "en", "a", 1), (1, "too short", "en", "a", 1), (None, nulls, "en", "a", 1), (None, nulls, "en", None, 1), (None, nulls, None, "a", 1)]
+    rows += [(None, "short too", "en", "a", 1), (2, other, "en", "a", 1), (None, other, "en", "a", 1), (1, words(64, 90), "en", "a", 1)] + [(7, hot, "en", "b", 1)] * 20
+    frame = spark.createDataFrame(rows, SCHEMA)
+    good = cut(corpus_pipeline.quality_stage(spark, frame, ""), "good")
+    assert good.count() == len(rows) - 2 and good.filter("text like '%short%'").count() == 0
+    kept = cut(corpus_pipeline.near_duplicate_stage(spark, good, ""), "kept")
+    want = sorted([("1", own), ("None", nulls), ("2", other), ("1", rows[9][1]), ("7", hot)])
+    assert sorted((str(x.doc_id), x.text) for x in kept.collect()) == want
+    assert sorted((str(x.doc_id), x.text) for x in corpus_pipeline.repeated_string_stage(spark, kept, "").collect()) == want
