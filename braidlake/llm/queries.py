@@ -28,7 +28,8 @@ def op5_token_counts(spark, sf_dir):
 
 
 def op7_license_scan(spark, sf_dir):
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("sql_digest").alias("digest"), "license_id")
 
 
 def op3_exact_topk(spark, sf_dir):

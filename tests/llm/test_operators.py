@@ -308,3 +308,22 @@ def test_licenses(spark):
 
     rows = [(1, "Copyright 2020 A\nRELEASED under the MIT Licence!", "s"), (2, "other", "s"), (3, None, "s"), (4, "© x", "s")]
     assert {x.doc_id: x.license_id for x in licenses.scan(frame(spark, rows)).collect()} == {1: "MIT-notice", 2: None, 3: None, 4: None}
+
+
+def test_whole_licenses(spark):
+    import textwrap
+    from pathlib import Path
+
+    from braidlake.llm import licenses
+
+    folder = Path(licenses.__file__).parent / "license_texts"
+    text = {f.stem: f.read_text() for f in folder.glob("*.txt")}
+    wrapped = {n: "\n\n".join(textwrap.fill(" ".join(p.split()), 61) for p in text[n].split("\n\n")) for n in ("MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause")}
+    isc = "ISC License\n\nCopyright Jo Doe\n\n" + text["ISC"].replace("provided that the\nabove copyright", "provided that the above\ncopyright")
+    assert "\ncopyright notice and this permission notice appear in all copies" in isc
+    apache = text["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2021 Jo Doe")
+    rows = [(n, t) for n, t in text.items()] + list(wrapped.items()) + [("ISC", isc), ("Apache-2.0", apache), ("Apache-2.0", apache[: apache.index(licenses.END) + len(licenses.END)])]
+    rows += [(n, f"Copyright (c) 2020, Jo Doe\nAll rights reserved.\n\n{t}") for n, t in wrapped.items()] + [("MIT", "The MIT License (MIT)\n\n© 2020 Jo\n\n" + text["MIT"].upper())]
+    rows += [(None, "这是一篇文章。\nReleased under the MIT License."), (None, "Это текст. " + text["MIT"]), (None, text["MIT"][:-300]), (None, text["ISC"].split("\n\n")[0]), ("MIT-notice", "Released under the MIT License.")]
+    got = {x.doc_id: x.license_id for x in licenses.scan(frame(spark, [(k, t, "s") for k, (_, t) in enumerate(rows)])).collect()}
+    assert [got[k] for k in range(len(rows))] == [n and n.removesuffix("-Regents") for n, _ in rows]
