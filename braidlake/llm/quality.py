@@ -100,9 +100,11 @@ def line_verdicts(docs: DataFrame, host_col: str, id_col: str = "doc_id", text_c
         )
         over = over.join(hosts, F.col("__host") == F.col("__of")).filter(100 * F.col("__n") > line_percent * F.col("__docs"))
     over = over.select(F.col("__key").alias("__over"), "__first")
+    # rows that repeat a document have its lines once
     return (
         lines.join(over, F.col("__key") == F.col("__over"))
         .filter(~F.col("__doc").eqNullSafe(F.col("__first")))
+        .select("__doc", "__host", "__text", "__at", "__w").distinct()
         .groupBy("__doc", "__host", "__text").agg(F.sum("__w").alias("removed_words"), F.collect_set("__at").alias("removed_lines"))
     )
 

@@ -213,6 +213,15 @@ def test_quality_limit_does_not_grow_with_the_host(spark):
     assert {k for k, n in got.items() if n} == set(range(1, 8)) and got[1] == 3
 
 
+def test_quality_counts_lines_of_repeated_rows_once(spark):
+    line = " ".join(f"menu{k}" for k in range(30))
+    rows = [(k, f"{words(k, 70)}\n{line}", "h") for k in range(12)]
+    rows += [rows[5]] * 3 + [(*rows[6][:2], "i")] + [(20 + k, f"{words(20 + k, 70)}\n{line}", "i") for k in range(12)]
+    got = quality.quality_rules(frame(spark, rows)).collect()
+    assert len(got) == len(rows) and all(x.kept and x.removed_words == (0 if x.doc_id == 0 else 30) for x in got if x.doc_id not in (6, 20))
+    assert sorted(x.removed_words for x in got if x.doc_id == 6) == [0, 30]
+
+
 def test_mixing(spark):
     r = random.Random(2)
     rows = [(k, words(k, r.randint(0, 60)), r.choice(["a", "a", "a", "b", "c", "d", None])) for k in range(600)] + [(600, None, "a"), (None, "x y", "b"), (5, "p q", "e"), (5, "p q", "e")]
