@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -19,16 +20,18 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _shipped: set[str] = set()
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set and all run in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="braidlake-")
         spark.sparkContext.setCheckpointDir(folder)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -39,7 +42,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and return a reader of it.
 
     This cuts lineage: executors can be lost afterwards without repeating what came before, and the shuffle files of
-    the finished step are released. The table is deleted when the application ends.
+    the finished step are released. ``discard`` deletes the table when no later step reads it; else it goes when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/braidlake-{uuid.uuid4().hex}/{name}"
@@ -50,15 +53,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    _written.append((spark, path))
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    _written[path] = spark
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of plans that nobody holds any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``cut`` wrote and that nothing reads any more."""
+    for path in (t.__dict__.get("_cut_path") for t in tables if t is not None):
+        if path in _written:
+            _delete(_written.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def ship(spark: SparkSession) -> None:
@@ -76,12 +86,9 @@ def ship(spark: SparkSession) -> None:
 
 
 def _delete_written() -> None:
-    for spark, path in _written:
-        try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session may have ended before
-            return
+    for path, spark in _written.items():
+        with contextlib.suppress(Exception):  # the session may have ended before
+            _delete(spark, path)
 
 
 atexit.register(_delete_written)

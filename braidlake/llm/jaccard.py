@@ -1,41 +1,46 @@
 """N-gram Jaccard join by token-combination prefixes.
 
-A document's tokens are the hashes of its distinct word shingles. Tokens are of two kinds: rare ones, and frequent ones,
-which fall into groups. All documents order tokens alike: rare before frequent. Two documents whose sets are similar
-enough share tokens in their prefixes; a prefix that is longer by one token for each group of frequent tokens it meets makes them
-share a rare token or two frequent tokens of one group (of n - t + 1 tokens beyond those that may be missing, at most one
-of each group can be shared without a pair). So rare tokens are indexed one by one and frequent tokens by pairs of a group,
-and a group of documents under a key is small unless its documents are alike.
-
-Which tokens count as frequent decides the cost alone, never the result. Documents under a common key are compared with the first of them, then, where
-documents of several components are left, with the next, for some rounds; what these leave is compared in blocks.
-
-Before texts travel to a comparison, parities decide: bit h mod m of a set's parity says whether an odd number of its tokens
-hash there, so two sets differ in at least as many tokens as their parities differ in bits. Pairs that differ in more than similar
-sets may are dropped on that proof alone; the rest is compared by whole sets.
+A document's tokens are the hashes of its distinct word shingles. Tokens fall into classes by how many documents hold them: rare
+ones, which are indexed singly, frequent ones, indexed by pairs, and very frequent ones, indexed by triples. Frequent classes are cut
+into groups by hash, and a combination lies within one group. All documents order tokens alike, rare ones first. A prefix
+that goes on until it holds n - t + 1 tokens beyond those that a combination costs (k - 1 for each group of a class indexed by k) shares a
+combination with the prefix of every set that has t tokens in common. So a key stands over few documents unless these are alike.
+
+The class of a token decides the cost alone, never the result. It is read from two bitmaps of fixed size, so tokens that share a
+bit with a frequent one count as frequent.
+
+Documents under a key meet as sketches: bit h mod m of a set's parity says whether an odd number of its tokens hash there, so two sets
+differ in at least as many tokens as their parities differ in bits. Of the pairs that this leaves, those that join two components of a key are
+verified on whole sets, by an independent second hash of the texts. Where one of them fails, the next round looks for
+others between the components that are still apart, until no pair is left untested.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidlake.llm.common import cut, ship
+from braidlake.llm.common import cut, discard, ship
 from braidlake.llm.components import connected_components
 from braidlake.llm.textbytes import binary, mix, shingle_sets
 
 #: Similar: PERCENT * union <= 100 * intersection.
 SHINGLE_WORDS, PERCENT = 4, 85
-#: A token is counted where a task meets it LOCAL times among FLUSH tokens, and frequent from FREQUENT such counts; at most MOST_FREQUENT are told apart.
-LOCAL, FLUSH, FREQUENT, MOST_FREQUENT = 8, 1 << 22, 128, 1 << 16
-#: Rounds of comparisons with a first document, and documents in a block of the comparison of what these leave.
-ROUNDS, BLOCK = 4, 64
+#: A token is counted where a task meets it LOCAL times among FLUSH tokens; it is frequent from PAIRS such counts, very frequent from TRIPLES.
+LOCAL, FLUSH, PAIRS, TRIPLES = 8, 1 << 22, 128, 4096
+#: Bits of each bitmap of frequent tokens.
+MARKS = 1 << 22
+#: Documents of a key that are compared in one piece.
+BLOCK = 2048
+#: Bytes of texts that are verified at once, and documents compared with a first one in one piece.
+SLICE, LED = 2 << 20, 4096
 
 
 def needed(n: int, percent: int) -> int:
@@ -43,43 +48,63 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def scheme_groups(level: int) -> int:
-    """Groups of frequent tokens for sets of 2^level to 2^(level + 1) - 1 tokens."""
-    return max(1, (1 << level) // 16)
+def class_groups(level: int) -> dict[int, int]:
+    """For sets of 2^level to 2^(level + 1) - 1 tokens: groups of the tokens indexed by pairs and, from 32 tokens on, by triples."""
+    size = 1 << level
+    return {2: max(1, size // 16)} | ({3: size // 12} if level >= 5 else {})
 
 
-def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The keys under which a set of distinct tokens is indexed; ``frequent``: the frequent tokens, sorted."""
+@lru_cache(maxsize=4096)
+def _ways(n: int, k: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), k)), dtype=np.int64).reshape(-1, k).T
+
+
+def _marked(tokens: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    bit = tokens & np.uint64(len(marks) * 64 - 1)
+    return (marks[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
+def prefix_keys(tokens: np.ndarray, marks: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> np.ndarray:
+    """The keys under which a set of distinct tokens is indexed; ``marks``: bitmaps of frequent and of very frequent tokens."""
     n = len(tokens)
     if not n:
         return tokens
     need = n - needed(n, percent) + 1
     order = mix(tokens)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        often = frequent[at] == tokens
-    else:
-        often = np.zeros(n, dtype=bool)
+    often = _marked(tokens, marks[0])
     rare = order[~often]
     if len(rare) >= need:
         return np.partition(rare, need - 1)[:need]
     out = [rare]
-    rest = np.sort(order[often])
+    very = _marked(tokens, marks[1])[often]
+    rest = order[often]
+    by = np.lexsort((rest, very))
+    rest, very = rest[by], very[by]
     level = n.bit_length() - 1
     # sets of the next level can be similar to this one: then it has keys of that level too
     for scheme in [level, level + 1] if 100 * n >= percent * (1 << (level + 1)) else [level]:
-        groups = (rest >> np.uint64(20)) % np.uint64(scheme_groups(scheme))
-        first = np.zeros(len(rest), dtype=bool)
-        first[np.unique(groups, return_index=True)[1]] = True
-        gain = np.cumsum(~first)
+        groups = class_groups(scheme)
+        k = np.where(very & (3 in groups), 3, 2)
+        spread = rest >> np.uint64(20)
+        of = np.where(k == 3, spread % np.uint64(groups.get(3, 1)) + np.uint64(groups[2]), spread % np.uint64(groups[2])).astype(np.int64)
+        # a token's place in its group: the first k - 1 of a group make no combination
+        by = np.argsort(of, kind="stable")
+        first = np.concatenate(([True], of[by][1:] != of[by][:-1]))
+        nth = np.empty(len(of), dtype=np.int64)
+        nth[by] = np.arange(len(of)) - np.maximum.accumulate(np.where(first, np.arange(len(of)), 0))
+        gain = np.cumsum(nth >= k - 1)
         end = int(np.searchsorted(gain, need - len(rare))) + 1
-        taken, of = rest[:end], groups[:end]
+        taken, of, k = rest[:end], of[:end], k[:end]
         by = np.argsort(of, kind="stable")
-        taken, of = taken[by], of[by]
+        taken, of, k = taken[by], of[by], k[by]
         edges = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True])))
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            i, j = np.triu_indices(b - a, 1)
-            out.append(mix(taken[a + i] * np.uint64(0x9E3779B97F4A7C15) + mix(taken[a + j]) + np.uint64(scheme)))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            size = int(k[a])
+            if b - a >= size:
+                key = np.full(1, scheme * 4 + size, dtype=np.uint64)
+                for row in _ways(b - a, size):
+                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + taken[a + row])
+                out.append(key)
     return np.concatenate(out)
 
 
@@ -90,27 +115,94 @@ def parity(tokens: np.ndarray) -> bytes:
     return np.packbits((np.bincount(places, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def likely(a: int, n_a: int, bytes_a: int, b: int, n_b: int, bytes_b: int, percent: int) -> bool:
-    """False only for sets that sizes and parities (as little-endian integers) prove not similar."""
-    if 100 * min(n_a, n_b) < percent * max(n_a, n_b):
-        return False
-    while bytes_a > bytes_b:
-        bytes_a >>= 1
-        a = (a >> (8 * bytes_a)) ^ (a & ((1 << (8 * bytes_a)) - 1))
-    while bytes_b > bytes_a:
-        bytes_b >>= 1
-        b = (b >> (8 * bytes_b)) ^ (b & ((1 << (8 * bytes_b)) - 1))
-    both = -(-percent * (n_a + n_b) // (100 + percent))
-    return (a ^ b).bit_count() <= n_a + n_b - 2 * both
-
-
-def _sets(column, n: int):
+class Sketches:
+    """Sizes and parities of some sets; which of them may be similar to one of them."""
+
+    def __init__(self, n: np.ndarray, parities: list[bytes], percent: int):
+        self.n, self.percent = n.astype(np.int64), percent
+        self.words = np.array([len(p) // 8 for p in parities])
+        self.at = np.zeros(len(n), dtype=np.int64)
+        self.rows: dict[int, np.ndarray] = {}
+        self.halves: dict[int, np.ndarray] = {}
+        self.own: dict[int, np.ndarray] = {}
+        for w in np.unique(self.words).tolist():
+            rows = self.rows[w] = np.flatnonzero(self.words == w)
+            self.at[rows] = np.arange(len(rows))
+            self.own[w] = np.frombuffer(b"".join([parities[r] for r in rows.tolist()]), dtype="<u8").reshape(-1, w)
+            if w > 1:
+                self.halves[w] = self.own[w][:, : w // 2] ^ self.own[w][:, w // 2 :]
+
+    def distances(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Bits in which parities differ, -1 where these or the sizes prove sets not similar."""
+        out = np.full(len(others), -1, dtype=np.int64)
+        w = int(self.words[i])
+        n, p = int(self.n[i]), self.percent
+        for kind in (w // 2, w, 2 * w):
+            if kind not in self.rows:
+                continue
+            here = np.flatnonzero(self.words[others] == kind)
+            if not here.size:
+                continue
+            m = self.n[others[here]]
+            here = here[100 * np.minimum(m, n) >= p * np.maximum(m, n)]
+            at = self.at[others[here]]
+            if kind == w:
+                bits = self.own[w][at] ^ self.own[w][self.at[i]]
+            elif kind < w:
+                bits = self.own[kind][at] ^ self.halves[w][self.at[i]]
+            else:
+                bits = self.halves[kind][at] ^ self.own[w][self.at[i]]
+            apart = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+            both = self.n[others[here]] + n
+            out[here] = np.where(apart <= both + 2 * (-p * both // (100 + p)), apart, -1)
+        return out
+
+
+def joining_pairs(ids: list, comps: list, n: np.ndarray, parities: list[bytes], asks: np.ndarray, percent: int, limit: int) -> list[tuple]:
+    """Pairs (place, place, cut) that may join components of the documents under a key; one of each pair ``asks``.
+
+    With ``limit`` 0 a found pair counts as a link and only pairs that join more are given, the first document's first. Otherwise the up
+    to ``limit`` likeliest pairs of each two components are given; ``cut`` says that there are more of them.
+    """
+    order = sorted(range(len(ids)), key=ids.__getitem__)
+    sketches = Sketches(n, parities, percent)
+    dense = {c: k for k, c in enumerate(dict.fromkeys(comps[k] for k in order))}
+    comp = np.array([dense[c] for c in comps], dtype=np.int64)
+    place = np.array(order, dtype=np.int64)
+    out: list[tuple] = []
+    among: dict[tuple[int, int], list] = {}
+    for turn, i in enumerate(order):
+        if not asks[i]:
+            continue
+        others = np.concatenate((place[:turn][~asks[place[:turn]]], place[turn + 1 :]))
+        others = others[comp[others] != comp[i]]
+        if not others.size:
+            if (comp == comp[0]).all():
+                break
+            continue
+        apart = sketches.distances(i, others)
+        for j, d in zip(others[apart >= 0].tolist(), apart[apart >= 0].tolist(), strict=True):
+            if limit:
+                among.setdefault((min(int(comp[i]), int(comp[j])), max(int(comp[i]), int(comp[j]))), []).append((d, ids[i], ids[j], i, j))
+            elif comp[i] != comp[j]:
+                out.append((i, j, False))
+                comp[comp == comp[j]] = comp[i]
+    for found in among.values():
+        found.sort(key=lambda x: x[:3])
+        out += [(i, j, len(found) > limit) for _, _, _, i, j in found[:limit]]
+    return out
+
+
+def _sets(column, n: int, which: int = 0):
     data, bounds = binary(column)
-    return shingle_sets(data, bounds, n)
+    return shingle_sets(data, bounds, n, which)
 
 
-def frequent_tokens(docs: DataFrame, n: int) -> np.ndarray:
-    """Tokens that many documents hold, counted over all documents: at most MOST_FREQUENT, so their table is bounded."""
+def frequent_marks(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of the tokens that many documents hold, and of those that very many hold, counted over all documents.
+
+    A token's bit is its last bits, so a bitmap has MARKS bits at any size of the input.
+    """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -132,33 +224,42 @@ def frequent_tokens(docs: DataFrame, n: int) -> np.ndarray:
         if held:
             yield flush()
 
-    often = docs.select("text").mapInArrow(counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = often.filter(F.col("n") >= FREQUENT).orderBy(F.col("n").desc(), "token").limit(MOST_FREQUENT).select("token").collect()
-    return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
+    often = docs.select("text").mapInArrow(counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= PAIRS)
+    bit = F.col("token").bitwiseAND(F.lit(MARKS - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
+    word = often.groupBy(F.floor(bit / 64).alias("word")).agg(F.bit_or(one).alias("pairs"), F.bit_or(F.when(F.col("n") >= TRIPLES, one).otherwise(F.lit(0).cast("long"))).alias("triples"))
+    marks = np.zeros((2, MARKS // 64), dtype=np.int64)
+    for at, pairs, triples in word.collect():  # MARKS / 64 rows at most
+        marks[:, at] = pairs, triples
+    return marks[0].view(np.uint64), marks[1].view(np.uint64)
 
 
-def indexed(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(id, n, f1, f2, parity, keys) of every row: the size of its set, the set's fingerprint in 128 bits, its parity, its keys."""
+def indexed(docs: DataFrame, n: int, percent: int, marks: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(id, n, f1, f2, parity, keys, packed) of every row: its set's size, fingerprint of two independent hashes, parity and keys, and its text compressed."""
 
-    told = docs.sparkSession.sparkContext.broadcast(frequent)
+    told = docs.sparkSession.sparkContext.broadcast(marks)
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            sizes, one, two, odd, keys = [], [], [], [], []
-            for tokens in _sets(batch.column(1), n):
+            sizes, one, two, odd, keys, packed = [], [], [], [], [], []
+            data, bounds = binary(batch.column(1))
+            for k, (tokens, again) in enumerate(zip(shingle_sets(data, bounds, n), shingle_sets(data, bounds, n, 1), strict=True)):
                 sizes.append(len(tokens))
                 one.append(int(np.bitwise_xor.reduce(mix(tokens ^ np.uint64(0xA0761D6478BD642F))) if len(tokens) else 0))
-                two.append(int(np.add.reduce(mix(tokens + np.uint64(0xE7037ED1A0B428DB))) if len(tokens) else 0))
+                two.append(int(np.add.reduce(mix(again + np.uint64(0xE7037ED1A0B428DB))) if len(again) else 0))
                 odd.append(parity(tokens))
                 keys.append(prefix_keys(tokens, told.value, percent).view(np.int64))
+                packed.append(squeeze(data[bounds[k] : bounds[k + 1]].tobytes()))
             starts = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             whole = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), whole(one), whole(two), pa.array(odd, pa.binary()), lists], ["id", "n", "f1", "f2", "parity", "keys"])
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), whole(one), whole(two), pa.array(odd, pa.binary()), lists, pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "f1", "f2", "parity", "keys", "packed"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(sketched, f"id {kind}, n long, f1 long, f2 long, parity binary, keys array<long>")
+    return docs.select("id", "text").mapInArrow(sketched, f"id {kind}, n long, f1 long, f2 long, parity binary, keys array<long>, packed binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -166,161 +267,195 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    squeeze = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
-        texts = batch.column(1).cast(pa.large_string()).cast(pa.large_binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze(t.as_py() or b"") for t in texts], pa.binary())], ["id", "text"])
-
+def _led(percent: int):
+    """Rows (group, u, v, n_u, p_u, n_v, p_v) to those pairs (group, u, v) that their sketches leave."""
 
-def _unpacked(column) -> pa.Array:
-    expand = zstandard.ZstdDecompressor().decompress
-    return pa.array([expand(z) for z in column.to_pylist()] if hasattr(column, "to_pylist") else [expand(bytes(z)) for z in column], pa.large_binary())
-
-
-def _likely_pairs(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_u, p_u, n_v, p_v = (batch.column(k).to_pylist() for k in range(2, 6))
-            number = int.from_bytes
-            keep = [
-                likely(number(p, "little"), a, len(p), number(q, "little"), b, len(q), percent) for a, p, b, q in zip(n_u, p_u, n_v, p_v, strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            n_u, p_u, n_v, p_v = (batch.column(k).to_pylist() for k in range(3, 7))
+            keep = [int(Sketches(np.array([a, b]), [p, q], percent).distances(0, np.array([1]))[0]) >= 0 for a, p, b, q in zip(n_u, p_u, n_v, p_v, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(3)], ["group", "u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _likely_block(percent: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        odd = [bytes(x) for x in rows["parity"]]
-        bits = [int.from_bytes(x, "little") for x in odd]
-        comps, asks, holds, n = (rows[c].tolist() for c in ("comp", "asks", "holds", "n"))
-        keep = [False] * len(n)
-        held = [j for j in range(len(n)) if holds[j]]
-        for i in [i for i in range(len(n)) if asks[i]]:
-            for j in held:
-                if comps[i] != comps[j] and not (keep[i] and keep[j]) and likely(bits[i], n[i], len(odd[i]), bits[j], n[j], len(odd[j]), percent):
-                    keep[i] = keep[j] = True
-        return rows.loc[np.array(keep, dtype=bool), ["g", "row", "col", "id", "comp", "holds", "asks"]]
+def _candidates(percent: int, limit: int):
+    """Rows (group, row, col, node, comp, n, parity, asks), those of a (group, row, col) one after another, to (group, u, v, more)."""
+
+    def whole(table: pa.Table) -> Iterator[tuple]:
+        g, row, col = (table.column(k).to_numpy() for k in range(3))
+        edges = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (row[1:] != row[:-1]) | (col[1:] != col[:-1]), [True])))
+        ids, comps, odd = table.column(3).to_pylist(), table.column(4).to_pylist(), table.column(6).to_pylist()
+        n, asks = table.column(5).to_numpy(), table.column(7).to_numpy()
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if b - a < 2:
+                continue
+            # a document that both asks and is asked may stand here twice: once, as one that asks
+            last = {}
+            for k in range(a, b):
+                if ids[k] not in last or asks[k]:
+                    last[ids[k]] = k
+            rows = list(last.values())
+            for i, j, more in joining_pairs([ids[k] for k in rows], [comps[k] for k in rows], n[rows], [odd[k] for k in rows], asks[rows], percent, limit):
+                u, v = sorted((ids[rows[i]], ids[rows[j]]))
+                yield int(g[a]), u, v, more
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, held = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()], None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+            marks = [table.column(k).to_numpy() for k in range(3)]
+            other = np.flatnonzero(np.logical_or.reduce([m != m[-1] for m in marks])) if len(table) else np.zeros(0, np.int64)
+            end = int(other[-1]) + 1 if other.size else 0
+            held = table.slice(end)
+            found = list(whole(table.slice(0, end)))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kinds[k]) for k in range(4)], ["group", "u", "v", "more"])
+        if held is not None and len(held):
+            found = list(whole(held))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kinds[k]) for k in range(4)], ["group", "u", "v", "more"])
 
     return run
 
 
 def _verify(n: int, percent: int):
+    """Rows (u, part, v, packed), the row of a null v first for each (u, part), to the pairs (u, v) that are similar."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = object(), np.zeros(0, np.uint64)
+        expand = zstandard.ZstdDecompressor().decompress
+        last, leads = None, []
         for batch in batches:
-            leaders, texts = batch.column(0).to_pylist(), batch.column(2)
-            keep = []
-            for k, (leader, own) in enumerate(zip(leaders, _sets(_unpacked(batch.column(3)), n), strict=True)):
-                if leader != last:
-                    last, held = leader, next(_sets(_unpacked(texts.slice(k, 1)), n))
-                keep.append(similar(held, own, percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            us, parts, vs, packed = (batch.column(k) for k in range(4))
+            us, parts, vs = us.to_pylist(), parts.to_pylist(), vs.to_pylist()
+            keep, at = [False] * len(us), 0
+            while at < len(us):
+                texts, size, end = [], 0, at
+                while end < len(us) and (size < SLICE or end == at):
+                    texts.append(expand(packed[end].as_py()))
+                    size += len(texts[-1])
+                    end += 1
+                for k, tokens in zip(range(at, end), _sets(pa.array(texts, pa.large_binary()), n, 1), strict=True):
+                    if (us[k], parts[k]) != last:
+                        last, leads = (us[k], parts[k]), []
+                    if vs[k] is None:
+                        leads.append(tokens)
+                    else:
+                        keep[k] = any(similar(lead, tokens, percent) for lead in leads)
+                at = end
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _block(n: int, percent: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sets = list(_sets(_unpacked(rows["text"]), n))
-        ids, comps, asks, holds = (rows[c].tolist() for c in ("id", "comp", "asks", "holds"))
-        parent: dict = {}
+def verified(pairs: DataFrame, base: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (u, v), distinct, that are similar. A text travels to each of its partners; partners of one document go in parts of about LED."""
+    many = cut(pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / F.lit(LED)).alias("parts")), "parts")
+    parted = pairs.join(many.withColumnRenamed("u", "of"), F.col("u") == F.col("of")).select("u", "v", F.pmod(F.xxhash64("v"), F.col("parts")).alias("part"))
+    texts = base.select("row", "packed")
+    asked = parted.join(texts, F.col("v") == F.col("row")).select("u", "part", "v", "packed")
+    leads = many.select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(texts, F.col("u") == F.col("row"))
+    rows = asked.unionByName(leads.select("u", "part", F.lit(None).cast("long").alias("v"), "packed"))
+    rows = rows.repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
+    out = cut(rows.mapInArrow(_verify(words, percent), "u long, v long"), "links")
+    discard(many)
+    return out
 
-        def root(c):
-            while parent.get(c, c) != c:
-                c = parent[c]
-            return c
 
-        found = []
-        for i in [i for i in range(len(ids)) if asks[i]]:
-            for j in range(len(ids)):
-                a, b = len(sets[i]), len(sets[j])
-                if holds[j] and 100 * min(a, b) >= percent * max(a, b) and (x := root(comps[i])) != (y := root(comps[j])) and similar(sets[i], sets[j], percent):
-                    parent[max(x, y)] = min(x, y)
-                    found.append((ids[i], ids[j]))
-        return pd.DataFrame(found, columns=["u", "v"])
+def _units(members: DataFrame, first_round: bool) -> DataFrame:
+    """Members (group, first, node, comp, n, parity) with (row, col, asks): the pieces in which the documents of a key are compared.
 
-    return run
+    Documents outside the first one's component ask and all of a key are asked; a key of over BLOCK documents is a grid of pieces.
+    """
+    mains = members.filter(F.col("node") == F.col("first")).select(F.col("group").alias("g"), F.col("comp").alias("main"))
+    sizes = members.join(mains, F.col("group") == F.col("g")).groupBy("g").agg(
+        F.count(F.lit(1)).alias("all"), F.sum((F.col("comp") != F.col("main")).cast("long")).alias("some"), F.max("main").alias("main")
+    )
+    zero = F.lit(0).cast("long")
+    minor = F.col("comp") != F.col("main")
+    columns = ["group", "row", "col", "node", "comp", "n", "parity", "asks"]
+    placed = members.join(cut(sizes, "sizes"), F.col("group") == F.col("g"))
+    single = placed.filter(F.col("all") <= BLOCK).withColumns({"row": zero, "col": zero, "asks": F.lit(True) if first_round else minor})
+    across, down = F.ceil(F.col("all") / F.lit(BLOCK)), F.ceil(F.col("some") / F.lit(BLOCK))
+    upto = lambda c: F.explode(F.sequence(zero, c - 1))
+    grid = placed.filter(F.col("all") > BLOCK)
+    held = grid.withColumn("col", F.pmod(F.xxhash64("node"), across)).withColumn("row", upto(down)).withColumn("asks", F.lit(False))
+    ask = grid.filter(minor).withColumn("row", F.pmod(F.xxhash64(F.lit(1), "node"), down)).withColumn("col", upto(across)).withColumn("asks", F.lit(True))
+    units = single.select(columns).unionByName(held.select(columns)).unionByName(ask.select(columns))
+    return units.repartition("group", "row", "col").sortWithinPartitions("group", "row", "col")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest id that links reach, its own included), set_id.
 
-    ``set_id`` is the smallest id with the very same set. Null and empty texts have empty sets and link with nothing. A null id
-    takes no part: its component is null. Rows that repeat an id are one document of a component each, joined through
-    the id. An empty table gives an empty result; other columns are left out.
+    ``set_id`` is the smallest id with the very same set. Null and empty texts have empty sets and link with nothing. Rows, not ids, are linked:
+    rows that repeat an id have the component of their own text, and a row of null id links like any other; nulls are no
+    smallest id, so its component is null only if no row that it reaches has an id. An empty table gives an empty result; other columns are left out.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    base = cut(indexed(rows, words, percent, frequent_tokens(rows, words)), "keys")
-    kind = rows.schema["id"].dataType.simpleString()
-    # documents with the same set are one from here on
-    classes = base.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
-    classes = cut(classes, "classes")
-    own = base.alias("b").join(classes.alias("c"), (F.col("b.id") == F.col("c.rep")) & (F.col("b.f1") == F.col("c.f1")) & (F.col("b.f2") == F.col("c.f2")) & (F.col("b.n") == F.col("c.n")), "left_semi")
-    keyed = own.select("id", "n", F.explode("keys").alias("key"))
+    base = cut(indexed(rows, words, percent, frequent_marks(rows, words)).withColumn("row", F.monotonically_increasing_id()), "keys")
+    # rows with the same set are one from here on
+    classes = cut(base.filter(F.col("n") > 0).groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.min("row").alias("node")), "classes")
+    own = cut(base.select("row", "n", "parity", "keys").join(classes.select("node"), F.col("row") == F.col("node"), "left_semi"), "own")
+    keyed = own.select(F.col("row").alias("node"), F.explode("keys").alias("key"))
     # keys under which the very same documents stand are one: their documents' hashes have the same sums
-    low = F.xxhash64("id").bitwiseAND(F.lit(0xFFFFFFFF))
-    high = F.shiftrightunsigned(F.xxhash64("id"), 32)
+    low = F.xxhash64("node").bitwiseAND(F.lit(0xFFFFFFFF))
+    high = F.shiftrightunsigned(F.xxhash64("node"), 32)
     groups = (
-        keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(high).alias("s1"), F.sum(low).alias("s2"), F.min("id").alias("first"))
+        keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(high).alias("s1"), F.sum(low).alias("s2"), F.min("node").alias("first"))
         .filter(F.col("m") > 1)
         .groupBy("m", "s1", "s2", "first").agg(F.min("key").alias("group"))
     )
-    members = cut(keyed.join(groups, F.col("key") == F.col("group")).select("group", "m", "first", "id", "n"), "members")
-    # texts travel compressed
-    packed = rows.filter(F.col("id").isNotNull()).mapInArrow(_pack, f"id {kind}, text binary")
-    texts = cut(packed.join(members.select("id").distinct(), "id", "left_semi"), "texts")
-    parities = cut(base.filter(F.col("id").isNotNull()).select("id", "n", "parity").join(members.select("id").distinct(), "id", "left_semi"), "parities")
-    left = members.withColumn("comp", F.col("id"))
-    links, tested, found = None, None, None
-    for _ in range(ROUNDS):
-        # the first document under each key against the others of other components; then it leaves the key
-        leaders = left.filter(F.col("id") == F.col("first")).select(F.col("group").alias("led"), F.col("n").alias("first_n"), F.col("comp").alias("first_comp")).distinct()
-        fits = (100 * F.least("n", "first_n") >= percent * F.greatest("n", "first_n")) & (F.col("comp") != F.col("first_comp"))
-        others = left.filter(F.col("id") != F.col("first")).join(leaders, F.col("group") == F.col("led"))
-        pairs = others.filter(fits).select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
-        pairs = pairs.join(tested, ["u", "v"], "left_anti") if tested is not None else pairs
-        sides = pairs.join(parities.select(F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("parity").alias("p_v")), "v")
-        sides = sides.join(parities.select(F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("parity").alias("p_u")), "u")
-        pairs = cut(sides.select("u", "v", "n_u", "p_u", "n_v", "p_v").mapInArrow(_likely_pairs(percent), f"u {kind}, v {kind}").distinct(), "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        asked = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v").join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u")
-        new = cut(asked.select("u", "v", "text_u", "text_v").mapInArrow(_verify(words, percent), f"u {kind}, v {kind}"), "links")
-        links = new if links is None else links.unionByName(new)
+    members = keyed.join(groups.select("group", "m", "first"), F.col("key") == F.col("group")).select("group", "m", "first", "node")
+    members = members.join(own.select("row", "n", "parity"), F.col("node") == F.col("row")).select("group", "m", "first", "node", "n", "parity")
+    members = cut(members.withColumn("comp", F.col("node")), "members")
+    links = cut(docs.sparkSession.createDataFrame([], "u long, v long"), "links")
+    tested, found = links, None
+
+    def told(pairs: DataFrame) -> None:
+        """Verify the ``pairs`` (group, u, v, ...) that are new, and join components by those that are similar."""
+        nonlocal links, tested, found
+        new = cut(pairs.select("u", "v").distinct().join(tested, ["u", "v"], "left_anti"), "new")
+        tested, links = tested.unionByName(new), links.unionByName(verified(new, base, words, percent))
+        discard(found)
         found = connected_components(links, "u", "v")
-        left = left.filter(F.col("id") != F.col("first")).drop("comp", "first").join(found, F.col("id") == F.col("node"), "left")
-        left = left.select("group", "m", "id", "n", F.coalesce("component", "id").alias("comp"))
-        open_ = left.groupBy("group").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("id").alias("first")).filter(F.col("c1") != F.col("c2"))
-        left = cut(left.join(open_.select(F.col("group").alias("g"), "first"), F.col("group") == F.col("g")).drop("g"), "left")
-        if left.isEmpty():
+
+    def apart(rows: DataFrame) -> DataFrame:
+        """Those ``rows`` of members whose key holds several components, with these as they now are."""
+        now = rows.drop("comp").join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+        now = now.select("group", "m", "first", "node", "n", "parity", F.coalesce("component", "node").alias("comp"))
+        several = now.groupBy(F.col("group").alias("g")).agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter(F.col("c1") != F.col("c2"))
+        out = cut(now.join(several.select("g"), F.col("group") == F.col("g"), "left_semi"), "apart")
+        discard(rows)
+        return out
+
+    large = members.filter(F.col("m") > BLOCK)
+    if not large.isEmpty():
+        # of a key of many documents, first all with the first one: most are like it as a rule
+        leaders = large.filter(F.col("node") == F.col("first")).select(F.col("group").alias("led"), F.col("n").alias("n_u"), F.col("parity").alias("p_u"))
+        near = large.filter(F.col("node") != F.col("first")).join(leaders, F.col("group") == F.col("led"))
+        near = near.select("group", F.col("first").alias("u"), F.col("node").alias("v"), "n_u", "p_u", F.col("n").alias("n_v"), F.col("parity").alias("p_v"))
+        pairs = cut(near.mapInArrow(_led(percent), "group long, u long, v long"), "pairs")
+        told(pairs)
+        discard(pairs)
+        members = apart(members)
+    limit = 0
+    while True:
+        pairs = cut(_units(members, not limit).mapInArrow(_candidates(percent, limit), "group long, u long, v long, more boolean"), "pairs")
+        told(pairs)
+        if limit:
+            again = pairs.filter("more")
+        else:  # a key of which no pair failed is done: its documents' components are as its pairs made them
+            again = pairs.join(tested.join(links, ["u", "v"], "left_anti"), ["u", "v"], "left_semi")
+        again = cut(again.select(F.col("group").alias("left")).distinct(), "again")
+        discard(pairs)
+        if again.isEmpty():
             break
-    # what these rounds left: keys under which documents of several components stand
-    mains = left.filter(F.col("id") == F.col("first")).select(F.col("group").alias("g"), F.col("comp").alias("main")).distinct()
-    rest = left.join(mains, F.col("group") == F.col("g")).withColumn("minor", F.col("comp") != F.col("main"))
-    sizes = rest.groupBy("g").agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("minor").cast("long")).alias("some")).withColumnRenamed("g", "g2")
-    sizes = sizes.filter((F.col("all") > 1) & (F.col("some") > 0))
-    rest = rest.join(sizes, F.col("g") == F.col("g2"))
-    across = F.ceil(F.col("all") / F.lit(BLOCK))
-    down = F.ceil(F.col("some") / F.lit(BLOCK))
-    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), c - 1))
-    place = F.pmod(F.xxhash64("id"), across)
-    holders = rest.withColumn("col", place).withColumn("row", upto(down)).select("g", "row", "col", "id", "comp", F.lit(True).alias("holds"), F.lit(False).alias("asks"))
-    askers = rest.filter("minor").withColumn("row", F.pmod(F.xxhash64(F.lit(1), "id"), down)).withColumn("col", upto(across))
-    askers = askers.select("g", "row", "col", "id", "comp", F.lit(False).alias("holds"), F.lit(True).alias("asks"))
-    units = holders.unionByName(askers).groupBy("g", "row", "col", "id", "comp").agg(F.max("holds").alias("holds"), F.max("asks").alias("asks"))
-    # texts go only to blocks in which a document has a likely partner
-    sketched = units.join(parities, "id").select("g", "row", "col", "id", "comp", "holds", "asks", "n", "parity").groupBy("g", "row", "col")
-    shape = f"g {members.schema['group'].dataType.simpleString()}, row long, col long, id {kind}, comp {kind}, holds boolean, asks boolean"
-    units = cut(sketched.applyInPandas(_likely_block(percent), shape).distinct(), "units")
-    tested = units.join(texts, "id").groupBy("g", "row", "col").applyInPandas(_block(words, percent), f"u {kind}, v {kind}")
-    more = cut(tested, "more_links")
-    if not more.isEmpty():
-        found = connected_components(links.unionByName(more), "u", "v")
-    sets = classes.select(F.col("n").alias("cn"), F.col("f1").alias("c1"), F.col("f2").alias("c2"), "rep")
+        members = apart(cut(members.join(again, F.col("group") == F.col("left"), "left_semi"), "open"))
+        limit = 8 * limit or 16
+    rooted = classes.join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    rooted = cut(rooted.select("n", "f1", "f2", "rep", F.coalesce("component", "node").alias("root")), "rooted")
+    least = rooted.groupBy(F.col("root").alias("r")).agg(F.min("rep").alias("component_id"))
+    sets = rooted.join(least, F.col("root") == F.col("r")).select(F.col("n").alias("cn"), F.col("f1").alias("c1"), F.col("f2").alias("c2"), "rep", "component_id")
     out = base.select("id", "n", "f1", "f2").join(sets, (F.col("n") == F.col("cn")) & (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2")), "left")
-    out = out.join(found, F.col("rep") == F.col("node"), "left")
-    reached = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), reached.alias("component_id"), F.coalesce("rep", "id").alias("set_id"))
+    mine = lambda c: F.when(F.col("n") > 0, F.col(c)).otherwise(F.col("id"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), mine("component_id").alias("component_id"), mine("rep").alias("set_id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -76,13 +78,16 @@ def slices(bounds: np.ndarray, most: int):
 
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
-_LOWER = CODES[0].copy()
-_LOWER[65:91] = CODES[0][97:123]
+_LOWER = CODES.copy()
+_LOWER[:, 65:91] = CODES[:, 97:123]
+_CASE = bytes(b + 32 if 65 <= b < 91 else b for b in range(256))
 _TURNS = np.array([0x8CB92BA72F3D8DD7, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], dtype=np.uint64)
+#: Longer words are hashed by BLAKE2: a polynomial modulo 2^64 gives some pairs of long words the same hash whatever its base.
+LONG_WORD = 48
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word of each row (A-Z lower-cased), and where each row's words begin."""
+def word_hashes(data: np.ndarray, bounds: np.ndarray, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of each row (A-Z lower-cased), and where each row's words begin; ``which`` of two independent hashes."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
@@ -91,16 +96,19 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     first[bounds] = True
     start = np.flatnonzero(ink & (np.concatenate(([True], ~ink[:-1])) | first[:n]))
     end = np.flatnonzero(ink & (np.concatenate((~ink[1:], [True])) | first[1:])) + 1
-    h = mix(PrefixHash(data, 0, _LOWER).of(start, end) + (end - start).astype(np.uint64) * _TURNS[5])
+    h = mix(PrefixHash(data, which, _LOWER[which]).of(start, end) + (end - start).astype(np.uint64) * _TURNS[5])
+    for k in np.flatnonzero(end - start > LONG_WORD).tolist():
+        word = data[start[k] : end[k]].tobytes().translate(_CASE)
+        h[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8, salt=bytes([which])).digest(), "little")
     return h, np.searchsorted(start, bounds)
 
 
-def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int = 4):
+def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int = 4, which: int = 0):
     """For each row the sorted distinct hashes of its n-word shingles; fewer words make one shingle, none an empty set."""
     if not 1 <= n <= 5:
         raise ValueError("shingles have 1 to 5 words")
     for a, b in slices(bounds, 2 << 20):
-        words, at = word_hashes(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
+        words, at = word_hashes(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], which)
         if len(words) >= n:
             together = np.zeros(len(words) - n + 1, dtype=np.uint64)
             for k in range(n):
