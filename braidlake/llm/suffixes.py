@@ -2,12 +2,15 @@
 
 Every string of LENGTH bytes is filed under its anchor: the k-gram in it with the least hash, the last of equals. Equal
 strings have equal anchors at equal places, so only strings under an anchor that occurs twice need sorting; all strings of
-one anchor occurrence lie together and form its context. Contexts that occur twice whole are repeated throughout. The others
+one anchor occurrence lie together and form its context. Contexts that occur twice whole, told by a 128-bit BLAKE2 digest of their bytes, are repeated throughout. The others
 are brought together by anchor with their bytes, and the suffixes that start in them are sorted, cut at LENGTH bytes:
 a mergesort whose comparisons find the common extension of two suffixes by binary search over prefix polynomial
 hashes, in a number of steps that grows with the logarithm of LENGTH. Neighbours in the order that extend over LENGTH are repeated; their bytes are compared
-to rule out collisions. Anchors with very many different contexts are not sorted in one task: their
-strings are counted by hash, which Spark sums before it shuffles.
+to rule out collisions.
+
+The contexts of an anchor are a family. A family too large for one sort is halved by where the anchor stands in a string: the strings of either
+half share more bytes around the anchor, so each half parts by these into families of its own, and so on; parts that are equal whole are repeated.
+A halving writes contexts, never strings, and after log2(LENGTH) of them a family holds equal strings alone.
 """
 
 from __future__ import annotations
@@ -21,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidlake.llm.common import cut, ship
+from braidlake.llm.common import cut, discard, ship
 from braidlake.llm.textbytes import PrefixHash, binary, mix
 
 #: A string of LENGTH bytes that starts twice is repeated; anchors are k-grams of ANCHOR bytes.
 LENGTH, ANCHOR = 200, 64
-#: Contexts sorted together, and contexts of one anchor from which its strings are counted by hash.
+#: Contexts sorted together, and contexts of the largest family that is sorted without being halved.
 BUCKET, MANY = 1024, 256
 #: Bytes that are worked on at once.
 SLICE = 2 << 20
@@ -61,8 +64,14 @@ def window_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(backward[:n], forward[width - 1 : width - 1 + n])
 
 
+def digests(data: bytes, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Two 64-bit halves of a digest of each span of some bytes."""
+    view = memoryview(data)
+    return np.frombuffer(b"".join([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in spans]), dtype="<i8").reshape(-1, 2)
+
+
 def contexts(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
-    """For each anchor occurrence: row, first start of its strings in the row, number of starts, anchor hash, hash of the context."""
+    """For each anchor occurrence: row, first start of its strings in the row, number of starts, the anchor's place after that start, its hash, the context's digest."""
     for held in pieces(bounds, length):
         part = np.concatenate([data[a:b] for _, a, b in held])
         edge = np.cumsum([0] + [b - a for _, a, b in held])
@@ -80,9 +89,9 @@ def contexts(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, anchor:
         last = np.flatnonzero(whole & np.concatenate((new[1:] | ~whole[1:], [True])))
         of = np.searchsorted(edge, start, side="right") - 1
         rows, offsets = np.array([r for r, _, _ in held])[of], np.array([a - int(bounds[r]) for r, a, _ in held])[of]
-        second = PrefixHash(part, 1)
-        count = last - start + 1
-        yield rows, offsets + start - edge[of], count, grams[least[start].astype(np.int64)], mix(second.of(start, last + length) + count.astype(np.uint64))
+        place = least[start].astype(np.int64)
+        told = digests(part.tobytes(), list(zip(start.tolist(), (last + length).tolist(), strict=True)))
+        yield rows, offsets + start - edge[of], last - start + 1, place - start, grams[place], told
 
 
 class HashedText:
@@ -186,93 +195,134 @@ def _occurrences(length: int, anchor: int):
         for batch in batches:
             keys = batch.column(0).to_numpy()
             data, bounds = binary(batch.column(1))
-            for rows, start, count, h, f in contexts(data, bounds, length, anchor):
-                columns = [pa.array(h.view(np.int64)), pa.array(f.view(np.int64)), pa.array(keys[rows]), pa.array(start.astype(np.int64)), pa.array(count.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["h", "f", "key", "start", "count"])
+            for rows, start, count, lead, h, told in contexts(data, bounds, length, anchor):
+                columns = [h.view(np.int64), told[:, 0], told[:, 1], keys[rows], start.astype(np.int64), count.astype(np.int32), lead.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "f", "g", "key", "start", "count", "lead"])
 
     return run
 
 
-def _cut_out(length: int):
+#: Contexts with their bytes: of family ``fam``, whose strings have their anchor at ``low`` to ``high``; ``done`` if known to be repeated whole.
+PARTS = "fam long, low int, high int, f long, g long, key long, start long, lead int, done boolean, bytes binary"
+_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_KINDS)], [x.split()[0] for x in PARTS.split(", ")])
+
+
+def _cut_out(length: int, anchor: int):
+    """Rows (key, text, wanted) to PARTS, a piece of a row at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
         for batch in batches:
-            got = {"h": [], "key": [], "start": [], "count": [], "copies": [], "many": [], "bytes": []}
-            for key, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_string()).cast(pa.large_binary()), batch.column(2).to_pylist(), strict=True):
-                raw = text.as_py() or b""
-                for w in wanted:
-                    for name in ("h", "start", "count", "copies", "many"):
-                        got[name].append(w[name])
-                    got["key"].append(key)
-                    got["bytes"].append(raw[w["start"] : w["start"] + w["count"] - 1 + length])
-            kinds = {"h": pa.int64(), "key": pa.int64(), "start": pa.int64(), "count": pa.int32(), "copies": pa.int64(), "many": pa.int64(), "bytes": pa.binary()}
-            yield pa.RecordBatch.from_arrays([pa.array(got[k], t) for k, t in kinds.items()], list(kinds))
+            data, bounds = binary(batch.column(1))
+            for k, (key, wanted) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), strict=True)):
+                raw = data[bounds[k] : bounds[k + 1]]
+                for w in wanted.as_py():
+                    found = raw[w["start"] : w["start"] + w["count"] - 1 + length].tobytes()
+                    out.append((w["h"], 0, length - anchor, w["f"], w["g"], key, w["start"], w["lead"], w["copies"] > 1, found))
+                    if len(out) == 4096:
+                        yield _batch(out)
+                        out = []
+        if out:
+            yield _batch(out)
 
     return run
 
 
-def _sorted(length: int, anchor: int):
+def halves(low: int, high: int, lead: int, text: bytes, length: int):
+    """Of a context whose strings have their anchor at ``low`` to ``high``: (low, high, shared bytes, first start, last start) of its halves that have strings."""
+    middle = (low + high + 1) // 2
+    first, last = lead, lead - (len(text) - length)  # the anchor's places in the first and in the last string
+    for a, b in ((low, middle - 1), (middle, high)):
+        if first >= a and last <= b:
+            yield a, b, text[lead - a : lead - b + length], max(0, lead - b), min(len(text) - length, lead - a)
+
+
+def _halved(length: int):
+    """PARTS to the PARTS of their halves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short = lambda x: int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
+        for batch in batches:
+            out = []
+            for fam, low, high, _, _, key, start, lead, done, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for a, b, shared, s, e in halves(low, high, lead, text, length):
+                    part = text[s : e + length]
+                    f, g = digests(part, [(0, len(part))])[0].tolist()
+                    out.append((short(b"%d %d %d " % (fam, a, b) + shared), a, b, f, g, key, start + s, lead - s, done, part))
+            yield _batch(out)
+
+    return run
+
+
+def _sorted(length: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        texts = rows["bytes"].tolist()
-        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        base = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-        lead = []
-        for k, h in enumerate(rows["h"].to_numpy().view(np.uint64)):
-            own = data[base[k] : base[k + 1]]
-            at = np.arange(len(own) - anchor + 1)
-            lead.append(int(np.flatnonzero(mix(PrefixHash(own, 0).of(at, at + anchor)) == h)[-1]))
+        rows = rows.sort_values(["key", "start"], kind="stable")
+        flags = repeated_starts(rows["bytes"].tolist(), rows["fam"].to_numpy(), rows["lead"].to_numpy(), length)
         out = []
-        single = (rows["copies"] == 1).tolist()
-        flags = repeated_starts(texts, rows["h"].to_numpy(), np.array(lead), length)
-        for key, start, alone, found in zip(rows["key"].tolist(), rows["start"].tolist(), single, flags, strict=True):
-            if alone:
+        for key, start, done, found in zip(rows["key"].tolist(), rows["start"].tolist(), rows["done"].tolist(), flags, strict=True):
+            if not done:
                 out += [(key, start + a, start + b + length) for a, b in zip(*map(np.ndarray.tolist, runs(found)), strict=True)]
         return pd.DataFrame(out, columns=["key", "a", "b"]).astype("int64")
 
     return run
 
 
-def _strings(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, starts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            data, bounds = binary(batch.column(2))
-            count = np.diff(bounds) - length + 1
-            owner = np.repeat(np.arange(len(keys)), count)
-            within = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            at = bounds[owner] + within
-            one, two = PrefixHash(data, 0).of(at, at + length), PrefixHash(data, 1).of(at, at + length)
-            columns = [mix(one).view(np.int64), mix(two).view(np.int64), keys[owner], starts[owner] + within]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["s1", "s2", "key", "a"])
-
-    return run
+def _open(parts: DataFrame) -> DataFrame:
+    """``parts`` of families that hold several, one of them not known to be repeated; with the family's size ``many``."""
+    sizes = parts.groupBy(F.col("fam").alias("of")).agg(F.count(F.lit(1)).alias("many"), F.min("done").alias("all_done"))
+    sizes = cut(sizes.filter((F.col("many") > 1) & ~F.col("all_done")).select("of", "many"), "families")
+    out = cut(parts.join(sizes, F.col("fam") == F.col("of")).drop("of"), "open")
+    discard(sizes)
+    return out
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """(key, a, b): byte spans of the rows of (key long, text) that repeated strings cover; spans may overlap."""
-    found = cut(rows.select("key", "text").mapInArrow(_occurrences(length, anchor), "h long, f long, key long, start long, count int"), "anchors")
-    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select(F.col("h").alias("of"))
-    found = cut(found.join(twice, F.col("h") == F.col("of"), "left_semi"), "repeated_anchors")
+    every = cut(rows.select("key", "text").mapInArrow(_occurrences(length, anchor), "h long, f long, g long, key long, start long, count int, lead int"), "anchors")
+    # written, so that the join below deals both sides anew and Spark can split an anchor with very many occurrences
+    twice = cut(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select(F.col("h").alias("of")), "twice")
+    found = cut(every.join(twice, F.col("h") == F.col("of"), "left_semi"), "repeated_anchors")
+    discard(every, twice)
     # contexts of an anchor, with how often each occurs whole and one of its occurrences
-    kinds = cut(found.groupBy("h", "f", "count").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "start")).alias("at")), "contexts")
-    whole = kinds.filter(F.col("copies") > 1).select(F.col("h").alias("wh"), F.col("f").alias("wf"), F.col("count").alias("wc"))
-    spans = found.join(whole, (F.col("h") == F.col("wh")) & (F.col("f") == F.col("wf")) & (F.col("count") == F.col("wc")), "left_semi")
+    kinds = cut(found.groupBy("h", "f", "g").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "start", "count", "lead")).alias("at")), "contexts")
+    whole = kinds.filter(F.col("copies") > 1).select(F.col("h").alias("wh"), F.col("f").alias("wf"), F.col("g").alias("wg"))
+    spans = found.join(whole, (F.col("h") == F.col("wh")) & (F.col("f") == F.col("wf")) & (F.col("g") == F.col("wg")), "left_semi")
     spans = spans.select("key", F.col("start").alias("a"), (F.col("start") + F.col("count") - 1 + length).alias("b"))
     # anchors with several contexts of which one occurs once: these need their bytes
     several = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("many"), F.min("copies").alias("least")).filter((F.col("many") > 1) & (F.col("least") == 1))
-    wanted = kinds.join(several.select(F.col("h").alias("sh"), "many"), F.col("h") == F.col("sh"))
-    wanted = wanted.groupBy(F.col("at.key").alias("k")).agg(F.collect_list(F.struct("h", F.col("at.start").alias("start"), "count", "copies", "many")).alias("wanted"))
+    wanted = kinds.join(cut(several.select(F.col("h").alias("sh")), "several"), F.col("h") == F.col("sh"), "left_semi")
+    asked = F.struct("h", "f", "g", "at.start", "at.count", "at.lead", "copies")
+    wanted = wanted.groupBy(F.col("at.key").alias("k")).agg(F.collect_list(asked).alias("wanted"))
     texts = rows.join(wanted, F.col("key") == F.col("k")).select("key", "text", "wanted")
-    parts = cut(
-        texts.mapInArrow(_cut_out(length), "h long, key long, start long, count int, copies long, many long, bytes binary"), "parts"
-    )
-    few = parts.filter(F.col("many") <= MANY)
+    parts = _open(cut(texts.mapInArrow(_cut_out(length, anchor), PARTS), "parts"))
+    small = []
+    while True:
+        small.append(parts.filter(F.col("many") <= MANY).select("fam", "key", "start", "lead", "done", "bytes"))
+        large = parts.filter(F.col("many") > MANY).drop("many")
+        if large.isEmpty():
+            break
+        large = cut(large.mapInArrow(_halved(length), PARTS), "halves")
+        # parts of a family that are equal whole are repeated, and one of them goes on for all
+        equal = cut(large.groupBy("fam", "f", "g").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "start")).alias("at")), "equal")
+        same = (F.col("fam") == F.col("ofam")) & (F.col("f") == F.col("of")) & (F.col("g") == F.col("og"))
+        more = equal.filter(F.col("copies") > 1).select(F.col("fam").alias("ofam"), F.col("f").alias("of"), F.col("g").alias("og"))
+        spans = spans.unionByName(
+            large.filter(~F.col("done")).join(more, same, "left_semi").select("key", F.col("start").alias("a"), (F.col("start") + F.length("bytes")).alias("b"))
+        )
+        one = equal.select(F.col("fam").alias("ofam"), F.col("f").alias("of"), F.col("g").alias("og"), "copies", "at")
+        first = same & (F.col("key") == F.col("at.key")) & (F.col("start") == F.col("at.start"))
+        parts = large.join(one, first).withColumn("done", F.col("done") | (F.col("copies") > 1)).select(*[x.split()[0] for x in PARTS.split(", ")])
+        parts = _open(parts)
+    few = small[0]
+    for more in small[1:]:
+        few = few.unionByName(more)
     buckets = max(1, few.count() // BUCKET)
-    partial = few.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets))).groupBy("bucket").applyInPandas(_sorted(length, anchor), "key long, a long, b long")
-    strings = parts.filter(F.col("many") > MANY).select("key", "start", "bytes").mapInArrow(_strings(length), "s1 long, s2 long, key long, a long")
-    strings = cut(strings, "strings")
-    often = strings.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select(F.col("s1").alias("o1"), F.col("s2").alias("o2"))
-    hot = strings.join(often, (F.col("s1") == F.col("o1")) & (F.col("s2") == F.col("o2")), "left_semi").select("key", "a", (F.col("a") + length).alias("b"))
-    return spans.unionByName(partial).unionByName(hot)
+    partial = few.withColumn("bucket", F.pmod(F.xxhash64("fam"), F.lit(buckets))).groupBy("bucket").applyInPandas(_sorted(length), "key long, a long, b long")
+    return spans.unionByName(partial)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
