@@ -54,7 +54,7 @@ def op9_mixing_sources(spark, sf_dir):
 
 
 def op10_sharding(spark, sf_dir):
-    return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.tree(8), sharding.tree(9))
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.tree(8), sharding.grow(sharding.tree(8)))
 
 
 QUERIES = {
@@ -62,13 +62,26 @@ QUERIES = {
     for f in (op1_bpe_encoding, op2_chat_format, op3_exact_topk, op4_suffix_array_dedup, op5_token_counts, op6_quality_rules, op7_license_scan, op8_ngram_jaccard_join, op9_mixing_sources, op10_sharding)
 }
 
-_U = "((('0x' || substr(md5('leaf:{s}:' || doc_id::VARCHAR), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
+_U = "((('0x' || substr(md5('{level}:{name}:' || doc_id::VARCHAR), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
 
 
-def _tree_sql(shards: int) -> str:
-    """The shard with the least of equally weighted draws; the first on a tie."""
-    draws = ", ".join(f"-ln({_U.format(s=s)})" for s in range(shards))
-    return f"(list_position([{draws}], list_min([{draws}])) - 1)::INTEGER"
+def _followed_sql(level: str, weights: dict[int, float]) -> str:
+    """The child with the least draw; the first on a tie."""
+    if len(weights) == 1:
+        return str(next(iter(weights)))
+    draws = ", ".join(f"-ln({_U.format(level=level, name=name)}) / {w!r}" for name, w in weights.items())
+    return f"[{', '.join(map(str, weights))}][list_position([{draws}], list_min([{draws}]))]"
+
+
+def _tree_sql(leaves: list) -> str:
+    """The shard to which doc_id descends: region, then rack, then shard."""
+    regions = sharding.nested(leaves)
+    region = _followed_sql("region", {r: sum(sum(y.values()) for y in x.values()) for r, x in regions.items()})
+    ways = []
+    for r, x in regions.items():
+        rack = _followed_sql("rack", {k: sum(y.values()) for k, y in x.items()})
+        ways.append(f"WHEN {r} THEN CASE {rack} " + " ".join(f"WHEN {k} THEN {_followed_sql('shard', y)}" for k, y in x.items()) + " END")
+    return f"(CASE {region} {' '.join(ways)} END)::INTEGER"
 
 
 _LICENSES = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in pair)) for pair in sorted(licenses.TEXTS.items()))
@@ -161,11 +174,12 @@ SQL = {
             SELECT doc_id, n::BIGINT + 1 AS size,
                    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(n), lambda j: ('0x' || substr(h, 2 * j + 1, 2))::BIGINT)),
                                    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32,
-                   {_tree_sql(8)} AS shard, {_tree_sql(9)} AS grown_shard,
-                   floor((('0x' || substr(md5('block:' || doc_id::VARCHAR), 1, 13))::BIGINT + 0.5) / 4503599627370496.0
-                         * greatest(1, ceil((SELECT count(*) FROM documents) / {sharding.BLOCK_ROWS}.0)))::BIGINT AS block
+                   {_tree_sql(sharding.tree(8))} AS shard, {_tree_sql(sharding.grow(sharding.tree(8)))} AS grown_shard
             FROM bytes, rule
+        ), b AS (
+            SELECT *, floor((('0x' || substr(md5('block:' || doc_id::VARCHAR || ':' || text_crc32::VARCHAR), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 * {sharding.BLOCKS})::BIGINT AS block
+            FROM p
         )
         SELECT doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY block, doc_id, text_crc32, size) - 1)::BIGINT AS slot, grown_shard
-        FROM p""",
+        FROM b""",
 }

@@ -1,11 +1,11 @@
 """Sharding by a hierarchical weighted hash tree (DataFrame functions only).
 
-The leaves of the tree are shards, their parents racks, the parents of those regions. For a key each shard draws
-``-ln(u) / weight`` with ``u`` a hash of (key, shard) in (0, 1): the smallest of such draws falls on a shard with
-a chance in proportion to its weight. A rack's draw is the least of its shards' draws and a region's the least of its
-racks', which is a draw with the summed weight. A key descends to the region with the least draw, in it to the
-rack, in it to the shard. A draw depends on the key and the leaf alone, so a changed weight moves keys only into or out
-of the changed leaf, and a new shard takes keys only into itself.
+The leaves of the tree are shards, their parents racks, the parents of those regions; a node weighs what its shards weigh. A key descends from
+the root: at each level every child of the node reached draws ``-ln(u) / weight`` with ``u`` a hash of (key, child) in (0, 1), and
+the least draw is followed, which falls on a child with a chance in proportion to its weight. A draw depends on the key, the child and
+its weight alone. So a shard whose weight grows draws keys into its rack from that rack's region and from other regions,
+moves nothing between other subtrees, and where no node above it changes weight (weight shifted within a rack) moves keys within that rack alone.
+``grow`` adds a shard as a region of its own: that takes keys only into itself.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from braidlake.llm.common import hex_fraction
 
-#: Rows in a numbering block: slots are numbered block by block, so that no task numbers a whole shard.
-BLOCK_ROWS = 16384
+#: Numbering blocks of a shard: slots are numbered block by block, so that no task numbers a whole shard.
+BLOCKS = 1024
 
 
 @dataclass(frozen=True)
@@ -34,41 +34,65 @@ def tree(shards: int, per_rack: int = 2, racks: int = 2) -> list[Leaf]:
     return [Leaf(s // (per_rack * racks), s // per_rack, s) for s in range(shards)]
 
 
-def _least(columns):
-    return F.least(*columns) if len(columns) > 1 else columns[0]
+def grow(leaves: list[Leaf], weight: float = 1.0) -> list[Leaf]:
+    """The tree with one more shard, in a rack and a region of its own."""
+    return [*leaves, Leaf(*(1 + max(getattr(x, level) for x in leaves) for level in ("region", "rack", "shard")), weight)]
 
 
-def descend(key, leaves: list[Leaf]):
-    """Column: struct (draw, region, rack, shard) of the leaf that a key comes to; of equal draws the first.
-
-    Each node's value is the least of its children's, with the path that it came from, so the root's holds the descent.
-    """
-    live = [leaf for leaf in leaves if leaf.weight > 0]
-    if not live:
+def nested(leaves: list[Leaf]) -> dict[int, dict[int, dict[int, float]]]:
+    """Weights by region, rack and shard, without those of no weight."""
+    if len({x.shard for x in leaves}) < len(leaves):
+        raise ValueError("a shard stands in a tree once")
+    out: dict[int, dict[int, dict[int, float]]] = {}
+    for x in sorted(leaves, key=lambda x: (x.region, x.rack, x.shard)):
+        if x.weight > 0:
+            out.setdefault(x.region, {}).setdefault(x.rack, {})[x.shard] = float(x.weight)
+    if not out:
         raise ValueError("a tree needs a shard of positive weight")
-    nodes: dict[tuple, list] = {}
-    for x in live:
-        draw = -F.ln(hex_fraction(F.md5(F.concat_ws(":", F.lit("leaf"), F.lit(str(x.shard)), key)))) / F.lit(float(x.weight))
-        nodes.setdefault((x.region, x.rack), []).append(F.struct(draw.alias("draw"), F.lit(x.region).alias("region"), F.lit(x.rack).alias("rack"), F.lit(x.shard).alias("shard")))
-    regions: dict[int, list] = {}
-    for (region, _), shards in sorted(nodes.items()):
-        regions.setdefault(region, []).append(_least(shards))
-    return _least([_least(racks) for _, racks in sorted(regions.items())])
+    return out
+
+
+def _followed(level: str, weights: dict[int, float], key):
+    """Column: the child with the least draw; of equal draws the first."""
+    if len(weights) == 1:
+        return F.lit(next(iter(weights)))
+    draw = lambda name, w: -F.ln(hex_fraction(F.md5(F.concat_ws(":", F.lit(level), F.lit(str(name)), key)))) / F.lit(w)
+    return F.least(*[F.struct(draw(name, w).alias("draw"), F.lit(name).alias("name")) for name, w in weights.items()])["name"]
+
+
+def _chosen(at, ways: dict[int, object]):
+    """Column: the way of the child that was followed; only that one is computed."""
+    (first, way), *rest = ways.items()
+    if not rest:
+        return way
+    out = F.when(at == first, way)
+    for name, way in rest[:-1]:
+        out = out.when(at == name, way)
+    return out.otherwise(rest[-1][1])
+
+
+def descend(docs: DataFrame, key, leaves: list[Leaf], out: str) -> DataFrame:
+    """Add the column ``out``: the shard to which ``key`` descends, level by level."""
+    regions = nested(leaves)
+    weigh = lambda node: sum(map(weigh, node.values())) if isinstance(node, dict) else node
+    docs = docs.withColumn("__region", _followed("region", {r: weigh(x) for r, x in regions.items()}, key))
+    docs = docs.withColumn("__rack", _chosen(F.col("__region"), {r: _followed("rack", {k: weigh(y) for k, y in x.items()}, key) for r, x in regions.items()}))
+    # racks are named within their region
+    ways = {r: _chosen(F.col("__rack"), {k: _followed("shard", y, key) for k, y in x.items()}) for r, x in regions.items()}
+    return docs.withColumn(out, _chosen(F.col("__region"), ways).cast("int")).drop("__region", "__rack")
 
 
 def assign(docs: DataFrame, key, leaves: list[Leaf], out: str) -> DataFrame:
     """Add the column ``out`` with the shard of ``key``; a null key counts as a key of its own."""
-    return docs.withColumn(out, descend(F.coalesce(key.cast("string"), F.lit("null")), leaves)["shard"].cast("int"))
+    return descend(docs.withColumn("__key", F.coalesce(key.cast("string"), F.lit("null"))), F.col("__key"), leaves, out).drop("__key")
 
 
-def number_slots(placed: DataFrame, shard: str, key, order: list, rows: int, out: str = "slot", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def number_slots(placed: DataFrame, shard: str, key, order: list, out: str = "slot", blocks: int = BLOCKS) -> DataFrame:
     """Number the rows of each shard without gaps from 0.
 
-    Rows fall into ``ceil(rows / block_rows)`` blocks by a hash of the key; a row's slot is the rows of its shard in
+    Rows fall into ``blocks`` blocks by a hash of ``key``; a row's slot is the rows of its shard in
     earlier blocks plus its place within its block by ``order``.
     """
-    blocks = max(1, -(-rows // block_rows))
-    key = F.coalesce(key.cast("string"), F.lit("null"))
     df = placed.withColumn("__block", F.floor(hex_fraction(F.md5(F.concat_ws(":", F.lit("block"), key))) * F.lit(blocks)).cast("long"))
     counts = df.groupBy(shard, "__block").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(shard).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
@@ -85,8 +109,8 @@ def shard_documents(docs: DataFrame, leaves: list[Leaf], grown: list[Leaf] | Non
     """Place documents into shards under the law ``key``: id and shards decide, and a new shard takes rows only into itself.
 
     Returns id, ``size`` (UTF-8 bytes of the text, 0 for null, plus 1), ``text_crc32`` (of the empty text for null),
-    ``law``, ``shard``, ``slot``, ``grown_shard``. A null id is a key like any other; rows that repeat an id share its
-    shard and take slots of their own; an empty table gives an empty result; other columns are left out.
+    ``law``, ``shard``, ``slot``, ``grown_shard`` (null without ``grown``). A null id is a key like any other; rows that repeat an id share its
+    shard and take slots of their own, in blocks by their texts; an empty table gives an empty result; other columns are left out.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
@@ -97,5 +121,6 @@ def shard_documents(docs: DataFrame, leaves: list[Leaf], grown: list[Leaf] | Non
     )
     placed = assign(rows, F.col("doc_id"), leaves, "shard")
     placed = assign(placed, F.col("doc_id"), grown, "grown_shard") if grown else placed.withColumn("grown_shard", F.lit(None).cast("int"))
-    numbered = number_slots(placed, "shard", F.col("doc_id"), [F.col("doc_id"), F.col("text_crc32"), F.col("size")], docs.count())
+    block = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_crc32")
+    numbered = number_slots(placed, "shard", block, [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
     return numbered.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

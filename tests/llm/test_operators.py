@@ -285,7 +285,8 @@ def test_flight_keeps_totals():
 
 def test_sharding(spark, rows):
     many = rows + [(1000 + k, words(k, 5), "s") for k in range(3000)]
-    got = sharding.shard_documents(frame(spark, many), sharding.tree(8), sharding.tree(9)).collect()
+    many += [(None, words(k, 4), "s") for k in range(40)] + [(5000, "a " * 100_000, "s")]
+    got = sharding.shard_documents(frame(spark, many), sharding.tree(8), sharding.grow(sharding.tree(8))).collect()
     assert len(got) == len(many)
     slots = {}
     for x in got:
@@ -295,12 +296,45 @@ def test_sharding(spark, rows):
     assert all(250 < len(s) < 520 for s in slots.values())
     one = next(x for x in got if x.doc_id == 0)
     assert one.text_crc32 == zlib.crc32(rows[0][1].encode()) and one.size == len(rows[0][1].encode()) + 1
-    heavy = [sharding.Leaf(x.region, x.rack, x.shard, 3.0 if x.shard == 2 else 1.0) for x in sharding.tree(4)]
-    df = sharding.assign(sharding.assign(spark.range(2000), F.col("id"), sharding.tree(4), "a"), F.col("id"), heavy, "b")
-    assert df.filter("a <> b and b <> 2").count() == 0 and 900 < df.filter("b = 2").count() < 1100
     assert sharding.shard_documents(frame(spark, []), sharding.tree(8)).count() == 0
 
 
+def test_sharding_descends_a_tree(spark):
+    """The same by brute force; weights move keys only into and out of the subtree that they change; labels matter."""
+    import math
+
+    def walk(key, leaves):
+        for level in ("region", "rack", "shard"):
+            weight = Counter()
+            for x in leaves:
+                weight[getattr(x, level)] += x.weight
+            draw = lambda name: -math.log((int(hashlib.md5(f"{level}:{name}:{key}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)) / weight[name]  # noqa: E731, B023
+            took = min(sorted(weight), key=draw)
+            leaves = [x for x in leaves if getattr(x, level) == took]
+        return leaves[0].shard
+
+    def change(leaves, **weights):
+        return [sharding.Leaf(x.region, x.rack, x.shard, weights.get(f"s{x.shard}", x.weight)) for x in leaves]
+
+    base = sharding.tree(8)
+    flat = [sharding.Leaf(0, 0, s) for s in range(8)]
+    trees = {"base": base, "flat": flat, "heavy": change(base, s2=4.0), "shifted": change(base, s2=1.5, s3=0.5), "gone": change(base, s7=0.0), "grown": sharding.grow(base)}
+    df = spark.range(3000)
+    for name, leaves in trees.items():
+        df = sharding.assign(df, F.col("id"), leaves, name)
+    rows = df.collect()
+    for x in rows[:400]:
+        assert all(x[name] == walk(x.id, [y for y in leaves if y.weight]) for name, leaves in trees.items())
+    moved = lambda name: {(x.base, x[name]) for x in rows if x.base != x[name]}
+    assert moved("shifted") == {(3, 2)}  # weight shifted within a rack stays there
+    assert moved("grown") == {(s, 8) for s in range(8)} and {a for a, _ in moved("gone")} > {7}
+    assert {b // 4 for _, b in moved("heavy")} == {0} and all(a // 4 == 1 or b // 2 == 1 for a, b in moved("heavy"))  # into its region or its rack
+    assert len(moved("flat")) > 40  # region and rack decide
+    assert 900 < sum(x.heavy == 2 for x in rows) < 1300
+    with pytest.raises(ValueError):
+        sharding.assign(df, F.col("id"), [sharding.Leaf(0, 0, 0, 0.0)], "none")
+
+
 def test_chat_repair(spark):
     from itertools import product
 
