@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: Arrow batches that go to Python workers, unless the session sets its own: texts are long, so bytes bound a batch, not rows alone.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "4096"}
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _shipped: set[str] = set()
@@ -72,8 +74,11 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, wherever the driver found it; once for each application."""
+    """Let Python workers import this package, wherever the driver found it, once for each application; bound the batches that they get."""
     context = spark.sparkContext
+    for name, value in BATCHES.items():
+        if not spark._jsparkSession.sessionState().conf().contains(name):
+            spark.conf.set(name, value)
     if context.applicationId in _shipped:
         return
     _shipped.add(context.applicationId)

@@ -34,13 +34,13 @@ from braidlake.llm.textbytes import binary, mix, shingle_sets
 #: Similar: PERCENT * union <= 100 * intersection.
 SHINGLE_WORDS, PERCENT = 4, 85
 #: A token is counted where a task meets it LOCAL times among FLUSH tokens; it is frequent from PAIRS such counts, very frequent from TRIPLES.
-LOCAL, FLUSH, PAIRS, TRIPLES = 8, 1 << 22, 128, 4096
+LOCAL, FLUSH, PAIRS, TRIPLES = 8, 1 << 21, 128, 4096
 #: Bits of each bitmap of frequent tokens.
 MARKS = 1 << 22
 #: Documents of a key that are compared in one piece.
 BLOCK = 2048
 #: Bytes of texts that are verified at once, and documents compared with a first one in one piece.
-SLICE, LED = 2 << 20, 4096
+SLICE, LED = 1 << 20, 4096
 
 
 def needed(n: int, percent: int) -> int:

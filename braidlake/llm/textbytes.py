@@ -107,7 +107,7 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int = 4, which: int =
     """For each row the sorted distinct hashes of its n-word shingles; fewer words make one shingle, none an empty set."""
     if not 1 <= n <= 5:
         raise ValueError("shingles have 1 to 5 words")
-    for a, b in slices(bounds, 2 << 20):
+    for a, b in slices(bounds, 1 << 20):
         words, at = word_hashes(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], which)
         if len(words) >= n:
             together = np.zeros(len(words) - n + 1, dtype=np.uint64)
