@@ -8,15 +8,12 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The notices and first sentences by identifier that the SQL of the query op7 knows.
-TEXTS = {
+#: Notices that are whole texts of their own.
+NOTICES = {
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
-    "copyright notice and this permission notice appear in all copies.",
-    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
 }
 #: Spellings that count as one.
 SPELLINGS = {"licence": "license", "sub license": "sublicense", "noncommercial": "non commercial", "organisation": "organization", "favour": "favor"}
@@ -41,13 +38,15 @@ WORDINGS = (
 END = "END OF TERMS AND CONDITIONS"
 #: A line that states a copyright: the word with a sign, a year, a place for one, or a holder in capitals; a sign; or that all rights are reserved.
 _YEAR = r"(?:19|20)\d\d"
-STATEMENT = (
-    r"(?m)^[ \t\r#*/;%!|-]*(?:"
+LEAD = r"[ \t\r#*/;%!|-]*"
+STATED = (
     rf"(?i:copyright)[ \t:,]*(?:(?i:\(c\))|©|[\[<{{]|{_YEAR})[^\n]*"
     rf"|©[^\n]*|(?i:\(c\))[ \t]*(?:(?i:copyright)\b|[\[<{{]|{_YEAR})[^\n]*"
-    r"|Copyright[ \t]+(?:by[ \t]+|the[ \t]+)?(?!(?i:holders?|owners?|notices?|laws?|licen[cs]es?|act|and|or)\b)[\p{Lu}\p{Lo}][^\n]*"
-    r"|(?i:all rights reserved)[.!]?[ \t\r]*)$"
+    r"|(?i:all rights reserved)[.!]?[ \t\r]*"
 )
+#: Of a holder: what comes before, how one begins, and words that are none.
+HOLDER = (r"Copyright[ \t]+(?:by[ \t]+|the[ \t]+)?", r"[\p{Lu}\p{Lo}][^\n]*", r"(?i:holders?|owners?|notices?|laws?|licen[cs]es?|act|and|or)\b")
+STATEMENT = rf"(?md)^{LEAD}(?:{STATED}|{HOLDER[0]}(?!{HOLDER[2]}){HOLDER[1]})$"
 
 
 def wordings(name: str, text: str) -> list[str]:
@@ -62,7 +61,7 @@ def wordings(name: str, text: str) -> list[str]:
 
 def catalogue() -> dict[str, list[str]]:
     """Accepted wordings by identifier: the whole texts in license_texts, and the notices, which are whole texts of their own."""
-    out = {name: [text] for name, text in TEXTS.items() if name.endswith("-notice")}
+    out = {name: [text] for name, text in NOTICES.items()}
     for file in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
         name = file.stem.removesuffix("-Regents")
         out.setdefault(name, []).extend(wordings(name, file.read_text(encoding="utf-8")))
@@ -81,22 +80,15 @@ def canonical(text):
     return one_spelling(F.trim(F.regexp_replace(out, r"[^\p{L}\p{M}\p{N}]+", " ")))
 
 
-def sql_form(text):
-    """Column: the form of which the SQL of the query op7 takes its digest: without all lines that begin with the word copyright, ASCII letters only."""
-    out = F.regexp_replace(F.lower(text), r"(?m)^\s*(copyright|\(c\)|©)[^\n]*$", " ")
-    return one_spelling(F.trim(F.regexp_replace(out, "[^a-z0-9]+", " ")))
-
-
 def scan(docs: DataFrame, texts: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest, license_id, sql_digest): whole texts against known digests, license_id null where there is none.
+    """(doc_id, digest, license_id): whole texts against known digests, license_id null where there is none.
 
     Null texts count as empty; a text of nothing but punctuation has no license; repeated rows each get a row; an empty table gives an empty
-    result. The catalogue is in the driver's memory, so its broadcast is bounded by it; of texts with one digest the first name counts.
-    ``sql_digest`` is that of sql_form; no license is looked up by it.
+    result; other columns are left out. The catalogue is in the driver's memory, so its broadcast is bounded by it; of texts with one digest the first name counts.
     """
     pairs = [(name, body) for name, bodies in sorted((catalogue() if texts is None else texts).items()) for body in bodies]
     known = docs.sparkSession.createDataFrame(pairs, "name string, body string")
     known = known.select(F.sha2(canonical(F.col("body")), 256).alias("__known"), "name").groupBy("__known").agg(F.min("name").alias("license_id"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(canonical(text), 256).alias("digest"), F.sha2(sql_form(text), 256).alias("sql_digest"))
-    return rows.join(F.broadcast(known), F.col("digest") == F.col("__known"), "left").select("doc_id", "digest", "license_id", "sql_digest")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(canonical(text), 256).alias("digest"))
+    return rows.join(F.broadcast(known), F.col("digest") == F.col("__known"), "left").select("doc_id", "digest", "license_id")

@@ -14,8 +14,6 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: A line is boilerplate of its host when more distinct documents than this hold it, however large the host is. The count is that
 #: of published line-level deduplication (lines seen more than 6 times go); it was not chosen from the tables here.
 LINE_LIMIT = 6
-#: The limits of the query op6 and its SQL: more distinct documents than LINE_DOCS and more than LINE_PERCENT of the host's.
-LINE_DOCS, LINE_PERCENT = 5, 10
 #: A document is depleted when fewer words than this share are left without boilerplate lines.
 MIN_LEFT_PERCENT = 50
 VERDICT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
@@ -70,13 +68,13 @@ def host_hash(host_col: str):
     return F.xxhash64(F.coalesce(F.col(host_col).cast("string"), F.lit("\x00null")))
 
 
-def line_verdicts(docs: DataFrame, host_col: str, id_col: str = "doc_id", text_col: str = "text", line_docs: int = LINE_LIMIT, line_percent: int = 0) -> DataFrame:
+def line_verdicts(docs: DataFrame, host_col: str, id_col: str = "doc_id", text_col: str = "text", line_docs: int = LINE_LIMIT) -> DataFrame:
     """What boilerplate lines hold, for each document with any: (__doc, __host, __text, removed_words, removed_lines).
 
     Lines are compared by a hash of their normal form within a host (null is a host). A line's documents are counted as
     distinct texts, so exact copies alone never make their own lines boilerplate. The document of smallest id keeps the
     line, so no content is lost from the host altogether. ``removed_lines`` are places in the text split at line ends, from 0.
-    Boilerplate is a line of more documents than ``line_docs`` and, if set, of more than ``line_percent`` of the host's.
+    Boilerplate is a line of more documents than ``line_docs``.
     """
     rows = docs.select(
         F.col(id_col).alias("__doc"),
@@ -93,12 +91,6 @@ def line_verdicts(docs: DataFrame, host_col: str, id_col: str = "doc_id", text_c
         .groupBy("__host", "__key").agg(F.count(F.lit(1)).alias("__n"), F.min("__first").alias("__first"))
         .filter(F.col("__n") > line_docs)
     )
-    if line_percent:
-        hosts = (
-            rows.groupBy("__host", "__text").agg(F.lit(1).alias("__one")).groupBy("__host").agg(F.count(F.lit(1)).alias("__docs"))
-            .withColumnRenamed("__host", "__of")
-        )
-        over = over.join(hosts, F.col("__host") == F.col("__of")).filter(100 * F.col("__n") > line_percent * F.col("__docs"))
     over = over.select(F.col("__key").alias("__over"), "__first")
     # rows that repeat a document have its lines once
     return (
@@ -116,12 +108,12 @@ def without_lines(text, removed):
 
 
 def judged(
-    docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text", line_docs: int = LINE_LIMIT, line_percent: int = 0
+    docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text", line_docs: int = LINE_LIMIT
 ) -> DataFrame:
     """The columns of quality_rules but kept_text, with removed_lines, __host, __th (a hash of the text) and the text as __t."""
     base = base_metrics(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__t"), host_hash(host_col).alias("__h")), "doc_id", "__t")
     base = base.withColumn("__th", F.xxhash64("__t"))
-    removed = line_verdicts(docs, host_col, id_col, text_col, line_docs, line_percent)
+    removed = line_verdicts(docs, host_col, id_col, text_col, line_docs)
     same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__th") == F.col("__text")) & (F.col("__h") == F.col("__host"))
     df = base.join(removed, same, "left").drop("__host").withColumnRenamed("__h", "__host")
     df = df.withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
@@ -130,7 +122,7 @@ def judged(
 
 
 def quality_rules(
-    docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text", line_docs: int = LINE_LIMIT, line_percent: int = 0
+    docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text", line_docs: int = LINE_LIMIT
 ) -> DataFrame:
     """Judge every document by the base rules and by what boilerplate lines of its host leave of it, and remove those lines.
 
@@ -138,7 +130,7 @@ def quality_rules(
     without its boilerplate lines. Empty and null texts have no words and fail the base rules; rows that repeat another are
     judged alike; an empty table gives an empty result.
     """
-    df = judged(docs, host_col, id_col, text_col, line_docs, line_percent)
+    df = judged(docs, host_col, id_col, text_col, line_docs)
     return df.select(*VERDICT, without_lines(F.coalesce("__t", F.lit("")), F.col("removed_lines")).alias("kept_text"))
 
 

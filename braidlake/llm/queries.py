@@ -28,8 +28,7 @@ def op5_token_counts(spark, sf_dir):
 
 
 def op7_license_scan(spark, sf_dir):
-    found = licenses.scan(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("sql_digest").alias("digest"), "license_id")
+    return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op3_exact_topk(spark, sf_dir):
@@ -42,7 +41,7 @@ def op4_suffix_array_dedup(spark, sf_dir):
 
 
 def op6_quality_rules(spark, sf_dir):
-    return quality.quality_rules(table(spark, sf_dir, "documents"), line_docs=quality.LINE_DOCS, line_percent=quality.LINE_PERCENT).select(*quality.VERDICT)
+    return quality.quality_rules(table(spark, sf_dir, "documents")).select(*quality.VERDICT)
 
 
 def op8_ngram_jaccard_join(spark, sf_dir):
@@ -84,11 +83,16 @@ def _tree_sql(leaves: list) -> str:
     return f"(CASE {region} {' '.join(ways)} END)::INTEGER"
 
 
-_LICENSES = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in pair)) for pair in sorted(licenses.TEXTS.items()))
+_quoted = lambda text: "'" + text.replace("'", "''") + "'"
+_LICENSES = ", ".join(f"({_quoted(name)}, {_quoted(body)})" for name, bodies in sorted(licenses.catalogue().items()) for body in bodies)
 
 
 def _license(text: str) -> str:
-    out = rf"trim(regexp_replace(regexp_replace(lower({text}), '(?m)^\s*(copyright|\(c\)|©)[^\n]*$', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+    """The digest of a text's canonical form: lines that state a copyright go."""
+    before, holder, none = licenses.HOLDER
+    stated, named, other = (_quoted(rf"^{licenses.LEAD}(?:{x})$") for x in (licenses.STATED, before + holder, f"{before}(?:{none})[^\n]*"))
+    lines = f"list_filter(string_split({text}, chr(10)), lambda x: NOT (regexp_matches(x, {stated}) OR (regexp_matches(x, {named}) AND NOT regexp_matches(x, {other}))))"
+    out = rf"trim(regexp_replace(lower(array_to_string({lines}, chr(10))), '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g'))"
     for a, b in licenses.SPELLINGS.items():
         out = f"replace({out}, '{a}', '{b}')"
     return f"sha256({out})"
@@ -117,25 +121,24 @@ SQL = {
                 SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1
             ) GROUP BY 1
         ), lines AS (
-            SELECT doc_id, source, text, line, sum(nw)::BIGINT AS nw FROM (
-                SELECT doc_id, source, text, trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')) AS line, len(regexp_extract_all(x, '{W}')) AS nw
-                FROM (SELECT doc_id, source, text, unnest(l) AS x FROM d)
-            ) GROUP BY ALL
-        ), hosts AS (
-            SELECT source, count(DISTINCT text) AS docs FROM documents GROUP BY 1
+            SELECT doc_id, source, text, i, trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')) AS line, len(regexp_extract_all(x, '{W}')) AS nw
+            FROM (
+                SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i
+                FROM (SELECT DISTINCT doc_id, source, text FROM documents)
+            ) WHERE regexp_matches(x, '{W}')
         ), boiler AS (
-            SELECT source, line, count(DISTINCT text) AS n, min(doc_id) AS first FROM lines GROUP BY 1, 2 HAVING count(DISTINCT text) > {quality.LINE_DOCS}
+            SELECT source, line, min(doc_id) AS first FROM lines GROUP BY 1, 2 HAVING count(DISTINCT text) > {quality.LINE_LIMIT}
         ), removed AS (
-            SELECT l.doc_id, sum(l.nw)::BIGINT AS removed_words FROM lines l
+            SELECT l.doc_id, l.source, l.text, sum(l.nw)::BIGINT AS removed_words FROM lines l
             JOIN boiler b ON b.source IS NOT DISTINCT FROM l.source AND b.line = l.line
-            JOIN hosts h ON h.source IS NOT DISTINCT FROM l.source
-            WHERE 100 * b.n > {quality.LINE_PERCENT} * h.docs AND l.doc_id <> b.first GROUP BY 1
+            WHERE l.doc_id IS DISTINCT FROM b.first GROUP BY 1, 2, 3
         ), m AS (
             SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
-                   (length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>', '')))::BIGINT AS n_symbols,
+                   (length(coalesce(d.text, '')) - length(translate(coalesce(d.text, ''), '#*$%&|<>', '')))::BIGINT AS n_symbols,
                    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(t.n, 0)::BIGINT AS n_repeat_words,
                    coalesce(r.removed_words, 0)::BIGINT AS removed_words
-            FROM d LEFT JOIN twice t USING (doc_id) LEFT JOIN removed r USING (doc_id)
+            FROM d LEFT JOIN twice t USING (doc_id)
+            LEFT JOIN removed r ON r.doc_id IS NOT DISTINCT FROM d.doc_id AND r.source IS NOT DISTINCT FROM d.source AND r.text = d.text
         )
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
                (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
