@@ -21,16 +21,30 @@ def floors(tombstones: DataFrame) -> DataFrame:
     return tombstones.groupBy("key").agg(F.max("generation").alias("floor"))
 
 
+def deduplicated_tombstones(tombstones: DataFrame) -> DataFrame:
+    """One tombstone (key, generation, millis, logical, node) for each deleted generation: the one of greatest version."""
+    best = tombstones.groupBy("key", "generation").agg(F.max(version()).alias("v"))
+    return best.select("key", "generation", "v.*")
+
+
 def live_cells(cells: DataFrame, tombstones: DataFrame) -> DataFrame:
     """Cells above their key's floor."""
     low = floors(tombstones).withColumnRenamed("key", "__key")
     return cells.join(low, F.col("key") == F.col("__key"), "left").filter(F.col("floor").isNull() | (F.col("generation") > F.col("floor"))).drop("__key", "floor")
 
 
-def merge(cells: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """(key, column, value, generation) by last writer within the highest live generation; minimum and maximum fold over all live ones."""
+def merge(cells: DataFrame, tombstones: DataFrame, strict: bool = False) -> DataFrame:
+    """(key, column, value, generation) by last writer within the highest live generation; minimum and maximum fold over all live ones.
+
+    With ``strict``, two values under the winning version of a cell are corrupt state and raise.
+    """
     best = F.struct("generation", version().alias("version"), "value")
-    folded = live_cells(cells, tombstones).groupBy("key", "column").agg(
+    live = live_cells(cells, tombstones)
+    if strict:
+        same = live.groupBy("key", "column", "generation", *VERSION).agg(F.min("value").alias("__low"), F.max("value").alias("value"))
+        clash = F.raise_error(F.concat(F.lit("corrupt: two values under one version of "), F.col("column"))).cast(live.schema["value"].dataType)
+        live = same.withColumn("value", F.when(F.col("__low").eqNullSafe(F.col("value")), F.col("value")).otherwise(clash))
+    folded = live.groupBy("key", "column").agg(
         F.max(best).alias("best"), F.min("value").alias("low"), F.max("value").alias("high"), F.max("generation").alias("generation")
     )
     winner = folded.groupBy("key").agg(F.max("generation").alias("winner")).withColumnRenamed("key", "__key")

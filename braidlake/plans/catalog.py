@@ -5,26 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from braidlake.functions import values
-from braidlake.operators import log, merge, policies, search
+from braidlake.operators import chunks, kv, log, merge, policies, search
 from braidlake.plans.fixtures import EDITS, LOG, TABLES, edits, events, table, tombstones
 from braidlake.plans.fixtures import log as log_rows
+from braidlake.plans.registry import QUERIES, SQL, query
 from braidlake.sources import store
 from braidlake.streaming import live
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(text: str | None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if text:
-            SQL[f.__name__] = text
-        return f
-
-    return add
-
-
 # ---- merge
 
 
@@ -60,7 +47,7 @@ def merge_batch(spark, d):
     out = e.filter("node = 2")
     for k in (0, 1):
         out = out.unionByName(e.filter(F.col("node") == k))
-    return merge.merge(out, tombstones(spark, d)).select("key", "column", "value", "generation")
+    return merge.merge(out, tombstones(spark, d), strict=True).select("key", "column", "value", "generation")
 
 
 @query(f"WITH {EDITS} SELECT millis, logical, node FROM live ORDER BY millis DESC, logical DESC, node DESC LIMIT 1")
@@ -198,14 +185,14 @@ def retention_floor(spark, d):
 
 @query("SELECT user_id, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY 1")
 def compact_latest(spark, d):
-    return log.compact(table(spark, d, "events"), "user_id", "event_id", "value")
+    return kv.compact(table(spark, d, "events"), "user_id", "event_id", "value")
 
 
 @query("SELECT 'f' || (o_orderkey % 20) AS name, o_orderkey // 20 AS chunk FROM orders WHERE FALSE UNION ALL SELECT 'f' || n, c FROM range(20) a(n), range(50) b(c) WHERE NOT EXISTS (SELECT 1 FROM events WHERE event_id % 20 = n AND event_id // 20 % 60 = c AND event_id % 7 = 0)")
 def chunk_missing(spark, d):
     have = table(spark, d, "events").filter("event_id % 7 = 0").select(F.concat(F.lit("f"), F.col("event_id") % 20).alias("name"), (F.floor(F.col("event_id") / 20) % 60).alias("chunk")).distinct()
     total = spark.range(20).select(F.concat(F.lit("f"), F.col("id")).alias("name"), F.lit(50).cast("long").alias("total"))
-    return log.missing_chunks(have, total)
+    return chunks.missing_chunks(have, total)
 
 
 @query("SELECT event_id % 64 AS segment, avg(CASE WHEN live THEN 1.0 ELSE 0.0 END) AS ratio FROM (SELECT event_id, event_id = max(event_id) OVER (PARTITION BY user_id, event_type) AS live FROM events) GROUP BY 1")
@@ -223,7 +210,7 @@ def keyset_page(spark, d):
 
 @query("SELECT pos, asked, c_acctbal AS value FROM (VALUES (0::BIGINT, 5::BIGINT), (1, 99999999), (2, 1), (3, 5)) v(pos, asked) LEFT JOIN customer ON c_custkey = asked")
 def multi_get(spark, d):
-    return log.multi_get(table(spark, d, "customer"), [5, 99999999, 1, 5], "c_custkey", "c_acctbal")
+    return kv.multi_get(table(spark, d, "customer"), [5, 99999999, 1, 5], "c_custkey", "c_acctbal")
 
 
 @query("SELECT node, max(s)[1] AS incarnation, max(s)[2] AS state FROM (SELECT user_id AS node, [event_id % 11, event_id % 4] AS s FROM events) GROUP BY 1")
@@ -232,11 +219,6 @@ def member_merge(spark, d):
     return table(spark, d, "events").groupBy(F.col("user_id").alias("node")).agg(best).select("node", F.col("b.i").alias("incarnation"), F.col("b.s").alias("state"))
 
 
-@query(None)
-def digest_table(spark, d):
-    return store.digest(table(spark, d, "orders"), ["o_orderkey", "o_totalprice"])
-
-
 # ---- search
 
 
@@ -380,9 +362,6 @@ SHARED = {
     "fn_case": "SELECT o_orderkey, CASE WHEN o_totalprice > 1000 THEN 'big' WHEN o_totalprice IS NULL THEN 'none' ELSE 'small' END AS k FROM orders",
     "fn_like": "SELECT p_partkey FROM part WHERE lower(p_name) LIKE '%e%' AND p_size IN (1, 5, 9) AND p_retailprice BETWEEN 0 AND 100000",
     "live_filter": "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0",
-    "table_filter": "SELECT n_name FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey > 2)",
-    "file_search": "SELECT page_id FROM pages WHERE url LIKE '%a%' ORDER BY url",
-    "nullfill": "SELECT event_id, coalesce(nullif(event_type, 'error'), 'none') AS t FROM events",
 }
 
 
@@ -434,3 +413,7 @@ def file_availability(spark, d):
     peers = table(spark, d, "customer").select("c_custkey").distinct()
     rows = table(spark, d, "supplier").join(peers, F.col("s_suppkey") == F.col("c_custkey"), "left")
     return rows.select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, "local").when(F.col("c_custkey").isNotNull(), "remote").otherwise("unavailable").alias("state"))
+
+
+# the other queries register themselves
+from braidlake.plans import function_queries, replication_queries, state_queries  # noqa: E402, F401
