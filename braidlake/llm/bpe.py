@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidlake.llm.common import ship
+from braidlake.llm.common import ship, tidy
 from braidlake.llm.textbytes import PrefixHash, binary, mix, slices
 
 #: A chunk ends where the low bits of the hash of the last WINDOW bytes are zero: after 2^CUT_BITS bytes on average.
@@ -239,6 +239,6 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    binned = rows.mapInArrow(bins, f"doc_id {id_type}, text string, bin long").hint("rebalance", "bin")
-    out = binned.select("doc_id", "text").mapInArrow(encoded, f"doc_id {id_type}, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")
+    binned = rows.mapInArrow(tidy(bins), f"doc_id {id_type}, text string, bin long").hint("rebalance", "bin")
+    out = binned.select("doc_id", "text").mapInArrow(tidy(encoded), f"doc_id {id_type}, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")
     return out if keep_ids else out.drop("ids")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidlake.llm.common import ship
+from braidlake.llm.common import ship, tidy
 
 #: Pre-tokens in a leaf at first, and pre-token counts that a task keeps.
 LEAF, KEPT = 64, 500_000
@@ -180,4 +180,4 @@ def edited_counts(docs: DataFrame, edits: DataFrame | None, path: str, pattern:
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in out)], ["doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_reencoded"])
 
-    return rows.mapInArrow(counted, f"doc_id {kind}, n_tokens long, n_edits long, n_tokens_edited long, n_reencoded long")
+    return rows.mapInArrow(tidy(counted), f"doc_id {kind}, n_tokens long, n_edits long, n_tokens_edited long, n_reencoded long")

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidlake.llm.common import cut, discard, ship
+from braidlake.llm.common import cut, discard, ship, tidy
 from braidlake.llm.components import connected_components
 from braidlake.llm.textbytes import binary, mix, shingle_sets
 
@@ -224,7 +224,7 @@ def frequent_marks(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield flush()
 
-    often = docs.select("text").mapInArrow(counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= PAIRS)
+    often = docs.select("text").mapInArrow(tidy(counted), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= PAIRS)
     bit = F.col("token").bitwiseAND(F.lit(MARKS - 1))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
     word = often.groupBy(F.floor(bit / 64).alias("word")).agg(F.bit_or(one).alias("pairs"), F.bit_or(F.when(F.col("n") >= TRIPLES, one).otherwise(F.lit(0).cast("long"))).alias("triples"))
@@ -259,7 +259,7 @@ def indexed(docs: DataFrame, n: int, percent: int, marks: tuple[np.ndarray, np.n
             yield pa.RecordBatch.from_arrays(columns, ["id", "n", "f1", "f2", "parity", "keys", "packed"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(sketched, f"id {kind}, n long, f1 long, f2 long, parity binary, keys array<long>, packed binary")
+    return docs.select("id", "text").mapInArrow(tidy(sketched), f"id {kind}, n long, f1 long, f2 long, parity binary, keys array<long>, packed binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -355,7 +355,7 @@ def verified(pairs: DataFrame, base: DataFrame, words: int, percent: int) -> Dat
     leads = many.select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(texts, F.col("u") == F.col("row"))
     rows = asked.unionByName(leads.select("u", "part", F.lit(None).cast("long").alias("v"), "packed"))
     rows = rows.repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
-    out = cut(rows.mapInArrow(_verify(words, percent), "u long, v long"), "links")
+    out = cut(rows.mapInArrow(tidy(_verify(words, percent)), "u long, v long"), "links")
     discard(many)
     return out
 
@@ -434,13 +434,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         leaders = large.filter(F.col("node") == F.col("first")).select(F.col("group").alias("led"), F.col("n").alias("n_u"), F.col("parity").alias("p_u"))
         near = large.filter(F.col("node") != F.col("first")).join(leaders, F.col("group") == F.col("led"))
         near = near.select("group", F.col("first").alias("u"), F.col("node").alias("v"), "n_u", "p_u", F.col("n").alias("n_v"), F.col("parity").alias("p_v"))
-        pairs = cut(near.mapInArrow(_led(percent), "group long, u long, v long"), "pairs")
+        pairs = cut(near.mapInArrow(tidy(_led(percent)), "group long, u long, v long"), "pairs")
         told(pairs)
         discard(pairs)
         members = apart(members)
     limit = 0
     while True:
-        pairs = cut(_units(members, not limit).mapInArrow(_candidates(percent, limit), "group long, u long, v long, more boolean"), "pairs")
+        pairs = cut(_units(members, not limit).mapInArrow(tidy(_candidates(percent, limit)), "group long, u long, v long, more boolean"), "pairs")
         told(pairs)
         if limit:
             again = pairs.filter("more")

@@ -18,7 +18,8 @@ def op1_bpe_encoding(spark, sf_dir):
 
 
 def op2_chat_format(spark, sf_dir):
-    return chat.format_chats(table(spark, sf_dir, "conversations"))
+    made = chat.format_chats(table(spark, sf_dir, "conversations"))
+    return made.select("conv_id", "segment", "n_turns", "cost", "roles", "actions", "rendered")
 
 
 def op5_token_counts(spark, sf_dir):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidlake.llm.common import cut, discard, ship
+from braidlake.llm.common import cut, discard, ship, tidy
 from braidlake.llm.textbytes import PrefixHash, binary, mix
 
 #: A string of LENGTH bytes that starts twice is repeated; anchors are k-grams of ANCHOR bytes.
@@ -32,7 +32,7 @@ LENGTH, ANCHOR = 200, 64
 #: Contexts sorted together, and contexts of the largest family that is sorted without being halved.
 BUCKET, MANY = 1024, 256
 #: Bytes that are worked on at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
 _PLACE = (1 << 23) - 1
 
 
@@ -282,7 +282,7 @@ def _open(parts: DataFrame) -> DataFrame:
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """(key, a, b): byte spans of the rows of (key long, text) that repeated strings cover; spans may overlap."""
-    every = cut(rows.select("key", "text").mapInArrow(_occurrences(length, anchor), "h long, f long, g long, key long, start long, count int, lead int"), "anchors")
+    every = cut(rows.select("key", "text").mapInArrow(tidy(_occurrences(length, anchor)), "h long, f long, g long, key long, start long, count int, lead int"), "anchors")
     # written, so that the join below deals both sides anew and Spark can split an anchor with very many occurrences
     twice = cut(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select(F.col("h").alias("of")), "twice")
     found = cut(every.join(twice, F.col("h") == F.col("of"), "left_semi"), "repeated_anchors")
@@ -298,14 +298,14 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     asked = F.struct("h", "f", "g", "at.start", "at.count", "at.lead", "copies")
     wanted = wanted.groupBy(F.col("at.key").alias("k")).agg(F.collect_list(asked).alias("wanted"))
     texts = rows.join(wanted, F.col("key") == F.col("k")).select("key", "text", "wanted")
-    parts = _open(cut(texts.mapInArrow(_cut_out(length, anchor), PARTS), "parts"))
+    parts = _open(cut(texts.mapInArrow(tidy(_cut_out(length, anchor)), PARTS), "parts"))
     small = []
     while True:
         small.append(parts.filter(F.col("many") <= MANY).select("fam", "key", "start", "lead", "done", "bytes"))
         large = parts.filter(F.col("many") > MANY).drop("many")
         if large.isEmpty():
             break
-        large = cut(large.mapInArrow(_halved(length), PARTS), "halves")
+        large = cut(large.mapInArrow(tidy(_halved(length)), PARTS), "halves")
         # parts of a family that are equal whole are repeated, and one of them goes on for all
         equal = cut(large.groupBy("fam", "f", "g").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "start")).alias("at")), "equal")
         same = (F.col("fam") == F.col("ofam")) & (F.col("f") == F.col("of")) & (F.col("g") == F.col("og"))
@@ -377,5 +377,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     also = "".join(f", `{c}` {rows.schema[f'carried_{c}'].dataType.simpleString()}" for c in carry)
     out = rows.join(spans, F.col("key") == F.col("k"), "left").select("doc_id", "text", "spans", *(f"carried_{c}" for c in carry))
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, spans array<struct<a:long,b:long>>{also}"
-    out = out.mapInArrow(kept, schema)
+    out = out.mapInArrow(tidy(kept), schema)
     return out if keep else out.drop("kept_text", "spans")
