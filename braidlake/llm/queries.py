@@ -84,6 +84,46 @@ def _tree_sql(leaves: list) -> str:
     return f"(CASE {region} {' '.join(ways)} END)::INTEGER"
 
 
+def _repair_sql() -> str:
+    """The automaton's dynamic programme as a recursion over turns: a cost and a way for each state."""
+    never, states = 10**9, chat.STATES
+    best, ways = [], []
+    for t in (1, 2, 3):
+        change = f"CASE WHEN role = '{states[t]}' THEN 0 ELSE {chat.RELABEL} END"
+        name = f"CASE WHEN role = '{states[t]}' THEN 'keep' ELSE 'relabel' END"
+        found = []  # (from, further cost, action, inserted) in order of preference
+        for p in range(4):
+            if t in chat.FOLLOWS[p]:
+                found.append((p, 0, name, ""))
+            elif t == p:
+                found.append((p, chat.MERGE, "'merge'", ""))
+            found += [(p, chat.INSERT, f"'insert+' || {name}", states[x]) for x in chat.FOLLOWS[p] if t in chat.FOLLOWS[x]]
+        costs = ", ".join(f"{{'c': c{p} + {extra} + {change}, 'i': {i}}}" for i, (p, extra, _, _) in enumerate(found))
+        best.append(f"list_min([{costs}]) AS b{t}")
+        cases = " ".join(f"WHEN {i} THEN list_append(s{p}, '{states[t]}|' || {action} || '|{x}')" for i, (p, _, action, x) in enumerate(found))
+        ways.append(f"CASE b{t}.i {cases} END")
+    return f"""
+        WITH RECURSIVE t AS (
+            SELECT conv_id, turn, role, text, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n
+            FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)
+        ), dp(conv_id, place, c0, c1, c2, c3, s0, s1, s2, s3) AS (
+            SELECT DISTINCT conv_id, 0::BIGINT, 0::BIGINT, {never}::BIGINT, {never}::BIGINT, {never}::BIGINT, []::VARCHAR[], []::VARCHAR[], []::VARCHAR[], []::VARCHAR[] FROM t
+            UNION ALL
+            SELECT conv_id, place, {never}, b1.c, b2.c, b3.c, s0, {", ".join(ways)} FROM (
+                SELECT t.conv_id, t.place, t.role, c0, c1, c2, c3, s0, s1, s2, s3, {", ".join(best)} FROM dp JOIN t ON t.conv_id IS NOT DISTINCT FROM dp.conv_id AND t.place = dp.place + 1
+            )
+        ), won AS (
+            SELECT dp.conv_id, x.c AS cost, x.s AS way FROM (SELECT DISTINCT conv_id, n FROM t) t JOIN dp ON dp.conv_id IS NOT DISTINCT FROM t.conv_id AND dp.place = t.n,
+            LATERAL (SELECT list_min([{{'c': c1, 't': 1, 's': s1}}, {{'c': c2, 't': 2, 's': s2}}, {{'c': c3, 't': 3, 's': s3}}]) AS x)
+        ), steps AS (
+            SELECT t.conv_id, t.place, cost, string_split(way[place], '|') AS w, replace(replace(coalesce(text, ''), chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|') AS body
+            FROM t JOIN won ON won.conv_id IS NOT DISTINCT FROM t.conv_id
+        )
+        SELECT conv_id, 0::BIGINT AS segment, count(*) AS n_turns, max(cost) AS cost, list(w[1] ORDER BY place) AS roles, list(w[2] ORDER BY place) AS actions,
+               string_agg(CASE WHEN w[3] <> '' THEN '<|' || w[3] || '|>' || chr(10) || chr(10) ELSE '' END || CASE WHEN w[2] = 'merge' THEN '' ELSE '<|' || w[1] || '|>' || chr(10) END || body || chr(10), '' ORDER BY place) AS rendered
+        FROM steps GROUP BY conv_id"""
+
+
 _quoted = lambda text: "'" + text.replace("'", "''") + "'"
 _LICENSES = ", ".join(f"({_quoted(name)}, {_quoted(body)})" for name, bodies in sorted(licenses.catalogue().items()) for body in bodies)
 
@@ -100,6 +140,7 @@ def _license(text: str) -> str:
 
 
 SQL = {
+    "op2_chat_format": _repair_sql(),
     "op3_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS e FROM embeddings

@@ -373,6 +373,24 @@ def test_chat_repair_is_the_least():
         assert __import__("re").fullmatch("s?(ua)*u?", out), roles
 
 
+def test_chat_sql_repairs_alike():
+    """The query's SQL, a programme of its own, on broken conversations."""
+    import duckdb
+
+    from braidlake.llm import chat, queries
+
+    r = random.Random(1)
+    rows = [(k, i, r.choice(["system", "user", "assistant", "odd", None]), r.choice(["a", "x <| \\ y", None])) for k in range(120) for i in range(r.randint(1, 7))]
+    with duckdb.connect() as con:
+        con.execute("CREATE TABLE conversations(conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+        con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+        got = {x[0]: x for x in con.sql(queries.SQL["op2_chat_format"]).fetchall()}
+    for k in range(120):
+        turns = [x for x in rows if x[0] == k]
+        cost, way = chat.repair([x[2] for x in turns], 0)
+        assert got[k][2:] == (len(turns), cost, [chat.STATES[w[0]] for w in way], [w[1] for w in way], chat.render(way, [x[3] for x in turns]))
+
+
 def test_chats_render(spark):
     from braidlake.llm import chat
 
