@@ -433,7 +433,7 @@ def least_cost(roles):
     return min(cost.values())
 
 
-def test_edited_counts(spark):
+def test_count_trees_follow_edits():
     import public_tokenizers as public
 
     from braidlake.llm import counts
@@ -443,15 +443,46 @@ def test_edited_counts(spark):
     for trial in range(60):
         text = "".join(r.choice(["word ", " ", "\n", "12", "'s", "é", "!?", "long" * 9]) for _ in range(r.choice([0, 3, 900])))
         tree = counts.CountTree(text, pieces, count)
-        for _ in range(5):
+        for step in range(5):
             a = r.randint(0, len(text))
-            b, new = min(len(text), a + r.choice([0, 1, 30, 400])), r.choice(["", " ", "x", "12 y", "new text " * 5])
+            b, new = min(len(text), a + r.choice([0, 1, 30, 400])), r.choice(["", " ", "x", "12 y", "new text " * 5, "many words " * 300])
             tree.edit(a, b, new)
             text = text[:a] + new + text[b:]
             assert tree.text() == text and tree.total == sum(map(count, pieces(text))), trial
-    df = frame(spark, [(1, "call 123456 now", "s"), (2, None, "s"), (None, "", "s")])
-    got = {x.doc_id: x for x in counts.edited_counts(df, None, public.path("byte_bpe_50k.json"), public.PATTERN, redact=r"\d{4,}").collect()}
-    assert got[1].n_edits == 1 and got[1].n_tokens_edited == sum(map(count, pieces("call 0 now"))) and got[2].n_tokens == 0
+            assert max(map(len, tree.leaves)) <= 2 * counts.LEAF and tree.chars[1] == len(text)
+            if step % 2:
+                tree = counts.CountTree.stored(*tree.store(), pieces, count)
+    tree = counts.CountTree("one two three " * 400, pieces, count)
+    tree.edit(100, 101, "x")
+    assert tree.encoded < 40
+
+
+def test_edited_counts(spark):
+    import public_tokenizers as public
+
+    from braidlake.llm import counts
+
+    path, pattern = public.path("byte_bpe_50k.json"), public.PATTERN
+    pieces, count = counts.counter(path, pattern)
+    total = lambda text: sum(map(count, pieces(text)))
+    long_ = "word " * 40_000
+    df = frame(spark, [(1, "call 123456 now", "s"), (2, None, "s"), (None, "", "s"), (3, "abc def ghi jkl", "s"), (3, "abc def ghi jkl", "s"), (4, long_, "s")])
+    got = counts.edited_counts(df, None, path, pattern, redact=r"\d{4,}").collect()
+    assert len(got) == 6 and {(x.doc_id, x.n_edits, x.n_tokens, x.n_tokens_edited) for x in got} == {
+        (1, 1, total("call 123456 now"), total("call 0 now")), (2, 0, 0, 0), (None, 0, 0, 0), (3, 0, total("abc def ghi jkl"), total("abc def ghi jkl")), (4, 0, total(long_), total(long_))
+    }
+    assert counts.edited_counts(df.limit(0), None, path, pattern).count() == 0
+    # overlapping, reversed, negative, null and unknown edits; a redaction inside a given edit
+    rows = [(3, 4, 9, "X"), (3, 8, 11, "Y"), (3, 14, 2, "!"), (1, -5, None, ">"), (1, 6, 8, "99999"), (4, 199_990, 10**9, "end"), (2, None, None, "new"), (9, 0, 1, "z"), (None, 0, 1, "z")]
+    edits = spark.createDataFrame(rows, "doc_id long, start long, end long, new string").withColumn("text", F.lit(1))
+    trees = counts.edit_trees(counts.count_trees(df, path, pattern), edits, path, pattern, redact=r"\d{4,}").collect()
+    want = {1: "> call 199999456 now".replace("> ", ">"), 2: "new", 3: "abc XY jk!l", None: "", 4: long_[:199_990] + "end"}
+    for x in trees:
+        assert "".join(x.leaves) == want[x.doc_id] and x.n_tokens_edited == total(want[x.doc_id]) == sum(x.tokens)
+    # stored trees are edited again without encoding them anew
+    again = spark.createDataFrame([(x.doc_id, x.n_tokens_edited, x.leaves, x.lengths, x.tokens) for x in trees], f"doc_id long, {counts.TREE}")
+    one = next(x for x in counts.edit_trees(again, spark.createDataFrame([(4, 0, 4, "first")], "doc_id long, start long, end long, new string"), path, pattern).collect() if x.doc_id == 4)
+    assert one.n_reencoded < 10 and one.n_tokens_edited == total("first" + want[4][4:])
 
 
 def test_licenses(spark):
