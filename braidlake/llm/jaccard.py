@@ -11,8 +11,8 @@ bit with a frequent one count as frequent.
 
 Documents under a key meet as sketches: bit h mod m of a set's parity says whether an odd number of its tokens hash there, so two sets
 differ in at least as many tokens as their parities differ in bits. Of the pairs that this leaves, those that join two components of a key are
-verified on whole sets, by an independent second hash of the texts. Where one of them fails, the next round looks for
-others between the components that are still apart, until no pair is left untested.
+verified on whole sets, by an independent second hash of the texts. The keys of which a pair fails meet again, now with their documents' tokens in 24 bits each
+beside the sketches, so that almost no pair is left that is not similar; should one fail again, another 24 bits are taken, until none does.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidlake.llm.common import cut, discard, ship, tidy
@@ -158,19 +158,45 @@ class Sketches:
         return out
 
 
-def joining_pairs(ids: list, comps: list, n: np.ndarray, parities: list[bytes], asks: np.ndarray, percent: int, limit: int) -> list[tuple]:
-    """Pairs (place, place, cut) that may join components of the documents under a key; one of each pair ``asks``.
+class Exact:
+    """Tokens of some sets in 24 bits each; of which of them an intersection may be large enough. Tokens that fall together only add to it."""
 
-    With ``limit`` 0 a found pair counts as a link and only pairs that join more are given, the first document's first. Otherwise the up
-    to ``limit`` likeliest pairs of each two components are given; ``cut`` says that there are more of them.
+    def __init__(self, n: np.ndarray, packed: list[bytes], percent: int):
+        self.n, self.percent = n.astype(np.int64), percent
+        self.ends = np.cumsum([len(p) // 3 for p in packed])
+        raw = np.frombuffer(b"".join(packed), dtype=np.uint8).reshape(-1, 3).astype(np.uint32)
+        self.tokens = raw[:, 0] | (raw[:, 1] << np.uint32(8)) | (raw[:, 2] << np.uint32(16))
+
+    def of(self, i: int) -> np.ndarray:
+        return self.tokens[self.ends[i - 1] if i else 0 : self.ends[i]]
+
+    def similar(self, i: int, others: np.ndarray) -> np.ndarray:
+        own = np.sort(self.of(i))
+        parts = [self.of(j) for j in others.tolist()]
+        every = np.concatenate(parts)
+        held = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+        edges = np.concatenate(([0], np.cumsum([len(p) for p in parts])[:-1]))
+        both = np.add.reduceat(held.astype(np.int64), edges)
+        return 100 * both >= self.percent * (self.n[others] + self.n[i] - both)
+
+
+def short_tokens(tokens: np.ndarray, salt: int) -> bytes:
+    """24 bits of each token's hash under a salt."""
+    raw = mix(tokens ^ np.uint64(0x2545F4914F6CDD1D * (salt + 1) & ((1 << 64) - 1))).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return np.ascontiguousarray(raw[:, :3]).tobytes()
+
+
+def joining_pairs(ids: list, comps: list, n: np.ndarray, parities: list[bytes], asks: np.ndarray, percent: int, packed: list[bytes] | None = None) -> list[tuple]:
+    """Pairs of places that join components of the documents under a key, the first document's first; one of each pair ``asks``.
+
+    A pair that sketches and, if given, ``packed`` tokens do not rule out counts as a link, and only pairs that join more are given.
     """
     order = sorted(range(len(ids)), key=ids.__getitem__)
-    sketches = Sketches(n, parities, percent)
+    sketches, exact = Sketches(n, parities, percent), None if packed is None else Exact(n, packed, percent)
     dense = {c: k for k, c in enumerate(dict.fromkeys(comps[k] for k in order))}
     comp = np.array([dense[c] for c in comps], dtype=np.int64)
     place = np.array(order, dtype=np.int64)
     out: list[tuple] = []
-    among: dict[tuple[int, int], list] = {}
     for turn, i in enumerate(order):
         if not asks[i]:
             continue
@@ -180,16 +206,13 @@ def joining_pairs(ids: list, comps: list, n: np.ndarray, parities: list[bytes],
             if (comp == comp[0]).all():
                 break
             continue
-        apart = sketches.distances(i, others)
-        for j, d in zip(others[apart >= 0].tolist(), apart[apart >= 0].tolist(), strict=True):
-            if limit:
-                among.setdefault((min(int(comp[i]), int(comp[j])), max(int(comp[i]), int(comp[j]))), []).append((d, ids[i], ids[j], i, j))
-            elif comp[i] != comp[j]:
-                out.append((i, j, False))
+        others = others[sketches.distances(i, others) >= 0]
+        if exact is not None and others.size:
+            others = others[exact.similar(i, others)]
+        for j in others.tolist():
+            if comp[i] != comp[j]:
+                out.append((i, j))
                 comp[comp == comp[j]] = comp[i]
-    for found in among.values():
-        found.sort(key=lambda x: x[:3])
-        out += [(i, j, len(found) > limit) for _, _, _, i, j in found[:limit]]
     return out
 
 
@@ -279,13 +302,13 @@ def _led(percent: int):
     return run
 
 
-def _candidates(percent: int, limit: int):
-    """Rows (group, row, col, node, comp, n, parity, asks), those of a (group, row, col) one after another, to (group, u, v, more)."""
+def _candidates(percent: int):
+    """Rows (group, row, col, node, comp, n, parity, asks, exact), those of a (group, row, col) one after another, to (group, u, v)."""
 
     def whole(table: pa.Table) -> Iterator[tuple]:
         g, row, col = (table.column(k).to_numpy() for k in range(3))
         edges = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (row[1:] != row[:-1]) | (col[1:] != col[:-1]), [True])))
-        ids, comps, odd = table.column(3).to_pylist(), table.column(4).to_pylist(), table.column(6).to_pylist()
+        ids, comps, odd, packed = (table.column(k).to_pylist() for k in (3, 4, 6, 8))
         n, asks = table.column(5).to_numpy(), table.column(7).to_numpy()
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             if b - a < 2:
@@ -296,23 +319,37 @@ def _candidates(percent: int, limit: int):
                 if ids[k] not in last or asks[k]:
                     last[ids[k]] = k
             rows = list(last.values())
-            for i, j, more in joining_pairs([ids[k] for k in rows], [comps[k] for k in rows], n[rows], [odd[k] for k in rows], asks[rows], percent, limit):
-                u, v = sorted((ids[rows[i]], ids[rows[j]]))
-                yield int(g[a]), u, v, more
+            tokens = None if packed[a] is None else [packed[k] for k in rows]
+            for i, j in joining_pairs([ids[k] for k in rows], [comps[k] for k in rows], n[rows], [odd[k] for k in rows], asks[rows], percent, tokens):
+                yield int(g[a]), *sorted((ids[rows[i]], ids[rows[j]]))
+
+    def found(table: pa.Table) -> pa.RecordBatch:
+        pairs = list(whole(table))
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(3)], ["group", "u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, held = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()], None
+        held = None
         for batch in batches:
             table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
             marks = [table.column(k).to_numpy() for k in range(3)]
             other = np.flatnonzero(np.logical_or.reduce([m != m[-1] for m in marks])) if len(table) else np.zeros(0, np.int64)
             end = int(other[-1]) + 1 if other.size else 0
             held = table.slice(end)
-            found = list(whole(table.slice(0, end)))
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kinds[k]) for k in range(4)], ["group", "u", "v", "more"])
+            yield found(table.slice(0, end))
         if held is not None and len(held):
-            found = list(whole(held))
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kinds[k]) for k in range(4)], ["group", "u", "v", "more"])
+            yield found(held)
+
+    return run
+
+
+def _shortened(n: int, salt: int):
+    """Rows (row, packed) to (row, exact): a text's tokens in 24 bits each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            out = [short_tokens(next(_sets(pa.array([expand(z.as_py())], pa.large_binary()), n)), salt) for z in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["row", "exact"])
 
     return run
 
@@ -350,30 +387,31 @@ def verified(pairs: DataFrame, base: DataFrame, words: int, percent: int) -> Dat
     """The pairs (u, v), distinct, that are similar. A text travels to each of its partners; partners of one document go in parts of about LED."""
     many = cut(pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / F.lit(LED)).alias("parts")), "parts")
     parted = pairs.join(many.withColumnRenamed("u", "of"), F.col("u") == F.col("of")).select("u", "v", F.pmod(F.xxhash64("v"), F.col("parts")).alias("part"))
-    texts = base.select("row", "packed")
+    sides = many.select(F.col("u").alias("side")).unionByName(pairs.select(F.col("v").alias("side"))).distinct()
+    texts = cut(base.select("row", "packed").join(sides, F.col("row") == F.col("side"), "left_semi"), "texts")
     asked = parted.join(texts, F.col("v") == F.col("row")).select("u", "part", "v", "packed")
     leads = many.select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(texts, F.col("u") == F.col("row"))
     rows = asked.unionByName(leads.select("u", "part", F.lit(None).cast("long").alias("v"), "packed"))
     rows = rows.repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
     out = cut(rows.mapInArrow(tidy(_verify(words, percent)), "u long, v long"), "links")
-    discard(many)
+    discard(many, texts)
     return out
 
 
-def _units(members: DataFrame, first_round: bool) -> DataFrame:
-    """Members (group, first, node, comp, n, parity) with (row, col, asks): the pieces in which the documents of a key are compared.
+def _units(members: DataFrame, mains: DataFrame | None) -> DataFrame:
+    """Members (group, m, first, node, comp, n, parity, exact) with (row, col, asks): the pieces in which the documents of a key are compared.
 
-    Documents outside the first one's component ask and all of a key are asked; a key of over BLOCK documents is a grid of pieces.
+    ``mains`` has (g, all, some, main): how many documents a key has, how many of them are outside the component of its first one, and that one; None if every
+    document is its own. Documents outside it ask and all of a key are asked; a key of over BLOCK documents is a grid of pieces.
     """
-    mains = members.filter(F.col("node") == F.col("first")).select(F.col("group").alias("g"), F.col("comp").alias("main"))
-    sizes = members.join(mains, F.col("group") == F.col("g")).groupBy("g").agg(
-        F.count(F.lit(1)).alias("all"), F.sum((F.col("comp") != F.col("main")).cast("long")).alias("some"), F.max("main").alias("main")
-    )
     zero = F.lit(0).cast("long")
+    columns = ["group", "row", "col", "node", "comp", "n", "parity", "asks", "exact"]
+    if mains is None:
+        placed = members.withColumns({"all": F.col("m"), "some": F.col("m"), "main": F.lit(-1).cast("long")})
+    else:
+        placed = members.join(mains, F.col("group") == F.col("g"))
     minor = F.col("comp") != F.col("main")
-    columns = ["group", "row", "col", "node", "comp", "n", "parity", "asks"]
-    placed = members.join(cut(sizes, "sizes"), F.col("group") == F.col("g"))
-    single = placed.filter(F.col("all") <= BLOCK).withColumns({"row": zero, "col": zero, "asks": F.lit(True) if first_round else minor})
+    single = placed.filter(F.col("all") <= BLOCK).withColumns({"row": zero, "col": zero, "asks": minor})
     across, down = F.ceil(F.col("all") / F.lit(BLOCK)), F.ceil(F.col("some") / F.lit(BLOCK))
     upto = lambda c: F.explode(F.sequence(zero, c - 1))
     grid = placed.filter(F.col("all") > BLOCK)
@@ -383,6 +421,15 @@ def _units(members: DataFrame, first_round: bool) -> DataFrame:
     return units.repartition("group", "row", "col").sortWithinPartitions("group", "row", "col")
 
 
+def main_components(members: DataFrame) -> DataFrame:
+    """(g, all, some, main) of the keys of members: see ``_units``."""
+    first = F.max(F.when(F.col("node") == F.col("first"), F.col("comp")))
+    comps = members.groupBy("group", "comp").agg(F.count(F.lit(1)).alias("n"), first.alias("own"))
+    main = F.max("own").over(Window.partitionBy("group"))
+    comps = comps.withColumn("main", main).groupBy(F.col("group").alias("g")).agg(F.sum("n").alias("all"), F.sum(F.when(F.col("comp") != F.col("main"), F.col("n")).otherwise(0)).alias("some"), F.max("main").alias("main"))
+    return comps
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest id that links reach, its own included), set_id.
 
@@ -429,6 +476,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return out
 
     large = members.filter(F.col("m") > BLOCK)
+    mains = None
     if not large.isEmpty():
         # of a key of many documents, first all with the first one: most are like it as a rule
         leaders = large.filter(F.col("node") == F.col("first")).select(F.col("group").alias("led"), F.col("n").alias("n_u"), F.col("parity").alias("p_u"))
@@ -438,20 +486,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         told(pairs)
         discard(pairs)
         members = apart(members)
-    limit = 0
+        mains = cut(main_components(members), "mains")
+    salt, exact = 0, None
     while True:
-        pairs = cut(_units(members, not limit).mapInArrow(tidy(_candidates(percent, limit)), "group long, u long, v long, more boolean"), "pairs")
+        if exact is None:
+            units = _units(members.withColumn("exact", F.lit(None).cast("binary")), mains)
+        else:
+            units = _units(members.join(exact, F.col("node") == F.col("row")).drop("row"), mains)
+        pairs = cut(units.mapInArrow(tidy(_candidates(percent)), "group long, u long, v long"), "pairs")
         told(pairs)
-        if limit:
-            again = pairs.filter("more")
-        else:  # a key of which no pair failed is done: its documents' components are as its pairs made them
-            again = pairs.join(tested.join(links, ["u", "v"], "left_anti"), ["u", "v"], "left_semi")
-        again = cut(again.select(F.col("group").alias("left")).distinct(), "again")
-        discard(pairs)
+        # a key of which no pair failed is done: its documents' components are as its pairs made them
+        again = pairs.join(links, ["u", "v"], "left_anti").select(F.col("group").alias("left")).distinct()
+        again = cut(again, "again")
+        discard(pairs, mains, exact)
         if again.isEmpty():
             break
         members = apart(cut(members.join(again, F.col("group") == F.col("left"), "left_semi"), "open"))
-        limit = 8 * limit or 16
+        mains = cut(main_components(members), "mains")
+        some = members.select(F.col("node").alias("asked")).distinct()
+        exact = base.select("row", "packed").join(some, F.col("row") == F.col("asked"), "left_semi")
+        exact = cut(exact.mapInArrow(tidy(_shortened(words, salt)), "row long, exact binary"), "exact")
+        salt += 1
     rooted = classes.join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     rooted = cut(rooted.select("n", "f1", "f2", "rep", F.coalesce("component", "node").alias("root")), "rooted")
     least = rooted.groupBy(F.col("root").alias("r")).agg(F.min("rep").alias("component_id"))
