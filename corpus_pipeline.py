@@ -1,6 +1,7 @@
 """A corpus pipeline over the table documents: quality rules, near duplicates, repeated strings, mixing, encoding.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Every stage takes null ids, languages,
+sources and counts as values, null texts as empty, rows that repeat as rows of their own, and an empty table, which gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,34 +17,19 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, without the boilerplate lines of their source."""
+    """Documents that the quality rules keep, without the boilerplate lines of their source. A null or empty text has no words and goes."""
     verdicts = cut(quality.judged(docs).drop("__t"), "verdicts")
     return quality.kept_rows(docs, verdicts).withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
 
 
-def row_hash():
-    """Column: a hash of a row of documents, nulls told from values."""
-    return F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS))
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of those that are equal in all columns; only rows whose hash occurs twice travel to be compared."""
-    twice = cut(docs.select(row_hash().alias("__hash")).groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("__hash"), "repeated_rows")
-    if twice.isEmpty():
-        return docs.select(COLUMNS)
-    marked = docs.select(*COLUMNS, row_hash().alias("__own"))
-    same = F.col("__own") == F.col("__hash")
-    once = marked.join(twice, same, "left_anti").select(COLUMNS)
-    return cut(once.unionByName(marked.join(twice, same, "left_semi").select(COLUMNS).distinct()), "distinct_rows")
-
-
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked rows, that of the smallest id (a null id comes last); links: shingles of five words, a similarity of 0.8 or more.
 
     Rows, not ids, are linked and kept: rows that repeat another or have a null id are copies like any others, and unlike texts of one id are
-    documents of their own. Rows are told apart by a 64-bit hash of their columns.
+    documents of their own. A row without words is linked with nothing and stays.
     """
-    rows = one_of_each(docs).withColumn("__row", row_hash())
+    # a written number tells rows apart
+    rows = cut(docs.select(COLUMNS).withColumn("__row", F.monotonically_increasing_id()), "numbered")
     groups = jaccard.near_duplicates(rows, id_col="__row", words=5, percent=80).select(F.col("doc_id").alias("__member"), "component_id")
     members = rows.select("__row", "doc_id").join(groups, F.col("__row") == F.col("__member"))
     first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first"))
@@ -51,7 +37,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeated_string_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated strings; a text of which no word is left goes.
+    """Texts without repeated strings; a text of which no word is left goes, one that had none to begin with stays; a null text becomes the empty one.
 
     A removed run may begin or end inside a character of several bytes: what is left of such a character goes as well.
     """
@@ -62,7 +48,7 @@ def repeated_string_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it; one without words is not taken."""
     mixed = mixing.mix_sources(docs).filter(F.col("copies") > 0).select("unit", F.col("doc_id").alias("__id"), "copies").distinct()
     rows = docs.withColumn("__unit", F.xxhash64("doc_id", "text"))
     rows = rows.join(mixed, (F.col("__unit") == F.col("unit")) & F.col("doc_id").eqNullSafe(F.col("__id")))
@@ -70,7 +56,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text."""
+    """Token ids of every text; a null or empty one has none."""
     return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
