@@ -6,7 +6,7 @@ stay apart at rest and fold when read, so deletion floors are known before anyth
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 VERSION = ("millis", "logical", "node")
@@ -38,19 +38,20 @@ def merge(cells: DataFrame, tombstones: DataFrame, strict: bool = False) -> Data
 
     With ``strict``, two values under the winning version of a cell are corrupt state and raise.
     """
-    best = F.struct("generation", version().alias("version"), "value")
-    live = live_cells(cells, tombstones)
     if strict:
-        same = live.groupBy("key", "column", "generation", *VERSION).agg(F.min("value").alias("__low"), F.max("value").alias("value"))
-        clash = F.raise_error(F.concat(F.lit("corrupt: two values under one version of "), F.col("column"))).cast(live.schema["value"].dataType)
-        live = same.withColumn("value", F.when(F.col("__low").eqNullSafe(F.col("value")), F.col("value")).otherwise(clash))
-    folded = live.groupBy("key", "column").agg(
-        F.max(best).alias("best"), F.min("value").alias("low"), F.max("value").alias("high"), F.max("generation").alias("generation")
-    )
-    winner = folded.groupBy("key").agg(F.max("generation").alias("winner")).withColumnRenamed("key", "__key")
-    return folded.join(winner, F.col("key") == F.col("__key")).select(
-        "key", "column", F.when(F.col("best.generation") == F.col("winner"), F.col("best.value")).alias("value"), "low", "high", F.col("winner").alias("generation")
-    )
+        same = cells.groupBy("key", "column", "generation", *VERSION).agg(F.min("value").alias("__low"), F.max("value").alias("value"))
+        clash = F.raise_error(F.concat(F.lit("corrupt: two values under one version of "), F.col("column"))).cast(cells.schema["value"].dataType)
+        cells = same.withColumn("value", F.when(F.col("__low").eqNullSafe(F.col("value")), F.col("value")).otherwise(clash))
+    # one row for each cell and generation first; then all rows of a key meet once, and with them its floor
+    best = F.max(F.struct(version().alias("version"), "value")).alias("best")
+    per = cells.groupBy("key", "column", "generation").agg(best, F.min("value").alias("low"), F.max("value").alias("high"))
+    both = per.withColumn("floor", F.lit(None).cast("long")).unionByName(floors(tombstones).withColumn("floor", F.col("floor").cast("long")), allowMissingColumns=True)
+    own = Window.partitionBy("key")
+    live = both.withColumn("floor", F.max("floor").over(own)).filter(F.col("best").isNotNull() & (F.col("floor").isNull() | (F.col("generation") > F.col("floor"))))
+    live = live.withColumn("winner", F.max("generation").over(own))
+    value = F.max(F.when(F.col("generation") == F.col("winner"), F.struct("best.version", "best.value"))).alias("won")
+    folded = live.groupBy("key", "column").agg(value, F.min("low").alias("low"), F.max("high").alias("high"), F.max("winner").alias("generation"))
+    return folded.select("key", "column", F.col("won.value").alias("value"), "low", "high", "generation")
 
 
 def conflicts(cells: DataFrame) -> DataFrame:

@@ -102,6 +102,30 @@ def bm25(index: DataFrame, terms: list[str], sizes: DataFrame | None = None, k:
     return out if k is None else out.orderBy(F.col("score").desc(), "key").limit(k)
 
 
+def _equal(term: str):
+    return lambda x: x == term
+
+
+def bm25_scan(docs: DataFrame, key: str, text: str, terms: list[str], k: int | None = None, tokenizer: str = "unicode61") -> DataFrame:
+    """(key, score) as ``bm25``, from the texts themselves: a pass counts, a pass scores, and no posting is written or shuffled."""
+    terms = list(dict.fromkeys(terms))
+    found = tokens(F.col(text), tokenizer)
+    rows = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), found.alias("__t"))
+    many = [F.size(F.filter("__t", _equal(t))).alias(f"__f{n}") for n, t in enumerate(terms)]
+    rows = rows.select("key", F.size("__t").alias("__len"), *many).filter("__len > 0")
+    some = F.greatest(*[F.col(f"__f{n}") for n in range(len(terms))], F.lit(0)) > 0
+    held = [F.sum((F.col(f"__f{n}") > 0).cast("long")).alias(f"__d{n}") for n in range(len(terms))]
+    corpus = rows.agg(F.count(F.lit(1)).alias("__docs"), F.avg("__len").alias("__mean"), *held)
+    score = F.lit(0.0)
+    for n in range(len(terms)):
+        df, tf = F.col(f"__d{n}"), F.col(f"__f{n}")
+        idf = F.ln(F.lit(1.0) + (F.col("__docs") - df + 0.5) / (df + 0.5))
+        score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__len") / F.col("__mean")))).otherwise(0.0)
+    # corpus is one row
+    out = rows.filter(some).crossJoin(F.broadcast(corpus)).select("key", score.alias("score"))
+    return out if k is None else out.orderBy(F.col("score").desc(), "key").limit(k)
+
+
 def trigrams(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, gram) of each text's distinct trigrams."""
     return docs.select(F.col(key).alias("key"), F.explode(F.array_distinct(tokens(F.col(text), "trigram"))).alias("gram"))

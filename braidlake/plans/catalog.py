@@ -282,7 +282,7 @@ def fts_phrase(spark, d):
     SELECT key, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
     FROM tf JOIN l USING (key) JOIN df USING (term), c GROUP BY 1""")
 def fts_bm25(spark, d):
-    return search.bm25(_index(spark, d), ["license", "released"]).select("key", F.round("score", 6).alias("score"))
+    return search.bm25_scan(table(spark, d, "documents"), "doc_id", "text", ["license", "released"]).select("key", F.round("score", 6).alias("score"))
 
 
 @query("SELECT doc_id AS key FROM documents WHERE lower(text) LIKE '%cen%'")
