@@ -5,7 +5,7 @@ wherever it stands. Documents are dealt to tasks by the least hash among their c
 together; within a task each distinct chunk is encoded once and its result kept in a table of bounded size. A cut may fall inside a word,
 so every join between two chunks is repaired: the end of the left and the start of the right chunk are encoded together as a window
 whose outer words, at white space on both sides, must get the ids that the chunks themselves have there. A chunk without such
-words lets the window grow over it; without agreement the window is the whole text.
+words lets the window grow over it; without agreement the window grows over the chunks on both sides, until there is agreement or it is the whole text.
 """
 
 from __future__ import annotations
@@ -54,6 +54,7 @@ class Coder:
         self.words: dict[str, bytes] = {}
         self.chunks: OrderedDict[bytes, tuple] = OrderedDict()
         self.room, self.kept_bytes, self.encoded, self.reused = kept_bytes, kept_bytes, 0, 0
+        self.widened = 0
         self.split = self._splitter()
         top = self.library.get_vocab_size(with_added_tokens=True)
         self.names = [(self.library.id_to_token(i) or "").encode() for i in range(top)]
@@ -152,30 +153,45 @@ class Coder:
         return out
 
     def encode(self, raws: list[bytes], cuts: list[list[int]]) -> list[bytes]:
-        """The ids of whole texts, each cut at its ``cuts`` (places in it, rising, its end included)."""
-        chunks = iter(self.learn_chunks([raw[a:b] for raw, at in zip(raws, cuts, strict=True) for a, b in zip([0, *at], at, strict=False)]))
-        cores, windows = [], []  # a text is its windows with the chunks' cores between them
-        for raw, at in zip(raws, cuts, strict=True):
-            own, joins, window, before = [], [], b"", b""
-            for a, b in zip([0, *at], at, strict=False):
-                part = next(chunks)
-                if part is None:
-                    window += raw[a:b]  # nothing to hold on to: the window goes on over this chunk
+        """The ids of whole texts, each cut at its ``cuts`` (places in it, rising, its end included).
+
+        Where a join finds no agreement, the cuts in its window go, so the window grows over the chunks on both sides, until all joins agree or one chunk is left.
+        """
+        out: list[bytes] = [b""] * len(raws)
+        cuts, todo = [list(c) for c in cuts], list(range(len(raws)))
+        while todo:
+            chunks = iter(self.learn_chunks([raws[k][a:b] for k in todo for a, b in zip([0, *cuts[k]], cuts[k], strict=False)]))
+            cores, windows = [], []  # a text is its windows with the chunks' cores between them
+            for k in todo:
+                own, joins, window, before, inside = [], [], b"", b"", []
+                for a, b in zip([0, *cuts[k]], cuts[k], strict=False):
+                    part = next(chunks)
+                    if part is None:
+                        window += raws[k][a:b]  # nothing to hold on to: the window goes on over this chunk
+                    else:
+                        joins.append((window + part[0], before, part[1], inside or [b]))
+                        own.append(part[2])
+                        before, window, inside = part[3], part[4], []
+                    inside.append(b)
+                joins.append((window, before, b"", inside[:-1] or cuts[k][-2:-1]))
+                cores.append(own)
+                windows.append(joins)
+            joined = iter(self.ids([j[0].decode("utf-8") for joins in windows for j in joins]))
+            again = []
+            for k, own, joins in zip(todo, cores, windows, strict=True):
+                got = [next(joined) for _ in joins]
+                lost = {c for g, (_, before, after, inside) in zip(got, joins, strict=True) if not (g.startswith(before) and g.endswith(after)) for c in inside}
+                if not lost and all(g.startswith(j[1]) and g.endswith(j[2]) for g, j in zip(got, joins, strict=True)):
+                    out[k] = b"".join([x for pair in zip(got, [*own, b""], strict=True) for x in pair])
+                    continue
+                self.widened += 1
+                left = [c for c in cuts[k][:-1] if c not in lost]
+                if left and len(left) < len(cuts[k]) - 1:
+                    cuts[k] = [*left, cuts[k][-1]]
+                    again.append(k)
                 else:
-                    joins.append((window + part[0], before, part[1]))
-                    own.append(part[2])
-                    before, window = part[3], part[4]
-            joins.append((window, before, b""))
-            cores.append(own)
-            windows.append(joins)
-        joined = iter(self.ids([w.decode("utf-8") for joins in windows for w, _, _ in joins]))
-        out = []
-        for raw, own, joins in zip(raws, cores, windows, strict=True):
-            got = [next(joined) for _ in joins]
-            if all(g.startswith(before) and g.endswith(after) for g, (_, before, after) in zip(got, joins, strict=True)):
-                out.append(b"".join([x for pair in zip(got, [*own, b""], strict=True) for x in pair]))
-            else:
-                out += self.ids([raw.decode("utf-8")])  # no agreement: the window is the whole text
+                    out[k] = self.ids([raws[k].decode("utf-8")])[0]  # the window is the whole text
+            todo = again
         return out
 
 

@@ -211,6 +211,24 @@ def test_bpe_reuses_chunks_and_repairs_joins():
     assert coder.reused >= coder.encoded - 6 > 0
 
 
+def test_bpe_widens_a_join_without_agreement():
+    path = __import__("public_tokenizers").path("word_bpe_49k.json")
+    text = words(6, 2500).encode()
+    data, bounds = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    cuts = [c for c, _ in bpe.cut_rows(data, bounds)]
+    edges = [0, *cuts[0]]
+    for k in (0, 3, len(edges) - 2):
+        wrong = text[edges[k] : edges[k + 1]]
+
+        class Odd(bpe.Coder):
+            def learn_chunks(self, raws, wrong=wrong):
+                return [(p[0], p[1] + b"\0\0\0\0", *p[2:3], p[3] + b"\0\0\0\0", p[4]) if r == wrong else p for r, p in zip(raws, super().learn_chunks(raws), strict=True)]
+
+        odd = Odd(path)
+        want = np.array(odd.library.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        assert odd.encode([text], cuts) == [want] and 0 < odd.widened < 4
+
+
 def test_quality(spark, rows):
     got = {x.doc_id: x for x in quality.quality_rules(frame(spark, rows)).collect()}
     assert len(quality.quality_rules(frame(spark, rows)).collect()) == len(rows)
