@@ -102,3 +102,13 @@ def digest(df: DataFrame, columns: Sequence[str], order: str, size: int = 4096)
     joined = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["d"]), ""), 256)
     parts = rows.groupBy("__r").agg(F.count(F.lit(1)).alias("n"), joined("x").alias("d"))
     return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("rows"), joined(F.struct(F.col("__r").alias("k"), "d")).alias("digest"))
+
+
+def live_pins(pins: DataFrame, now) -> DataFrame:
+    """Snapshot pins (snapshot, origin, floor, expires) that still hold the log back."""
+    return pins.filter(F.col("expires") > now)
+
+
+def received(manifest: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(name, finished): whether all chunks of each name of a manifest are there and good."""
+    return verified(chunks, manifest).groupBy("name").agg(F.min((F.col("state") == "good").cast("int")).alias("n")).select("name", (F.col("n") == 1).alias("finished"))

@@ -283,3 +283,25 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k:
     found = held.groupBy("t", "b").cogroup(asks.groupBy("t", "b")).applyInPandas(nearest, f"query {kind}, `{key}` {kind}, distance double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", key))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+class Indexes:
+    """Definitions of several indexes, replaced all at once: all that are new or changed are built first, then the whole set counts."""
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path, self.held, self.epoch = spark, path.rstrip("/"), {}, 0
+
+    def replace(self, definitions: dict[str, tuple[str, str, str]], docs: DataFrame) -> None:
+        """``definitions``: name to (key, text, tokenizer). If one cannot be built, the old set stays."""
+        made, epoch = {}, self.epoch + 1
+        for name, (key, text, tokenizer) in definitions.items():
+            old = self.held.get(name)
+            if old is not None and (old.key, old.text, old.tokenizer) == (key, text, tokenizer):
+                made[name] = old
+                continue
+            made[name] = Index(self.spark, f"{self.path}/{epoch}/{name}", key, text, tokenizer)
+            made[name].rebuild(docs)
+        self.held, self.epoch = made, epoch
+
+    def __getitem__(self, name: str) -> Index:
+        return self.held[name]

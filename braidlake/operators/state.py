@@ -221,3 +221,14 @@ def transaction(table: DataFrame, steps: Sequence, check: Column | None = None)
         return out
     guard = F.when(F.coalesce(check, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit("a row fails the check")).cast("boolean"))
     return out.filter(guard)
+
+
+def export_replica(path: str, cells: DataFrame, tombstones: DataFrame) -> None:
+    """Write a replica's whole state: its cells and its tombstones."""
+    cells.write.parquet(f"{path}/cells")
+    tombstones.write.parquet(f"{path}/tombstones")
+
+
+def import_replica(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """A replica's state as it was exported."""
+    return spark.read.parquet(f"{path}/cells"), spark.read.parquet(f"{path}/tombstones")

@@ -281,3 +281,76 @@ def test_live_feed(spark, tmp_path):
     for cursor in (("x", 3), ("e", 9), ("e", -1)):
         with pytest.raises(ValueError, match="cursor"):
             query.resume(cursor)
+
+
+class Shelf:
+    """A backend for the test: parts a and b."""
+
+    def __init__(self, where):
+        self.where = where
+
+    def parts(self):
+        return ["a", "b"]
+
+    def records(self, part):
+        yield part, self.where.encode(), 1, False
+        yield part, None, 2, part == "b"
+
+
+def test_backend_and_objects(spark):
+    from dataclasses import dataclass
+
+    from braidlake.sources import backend
+
+    @dataclass
+    class Record:
+        key: str
+        sequence: int
+
+    df = backend.records(spark, "tests.test_replication.Shelf", "here")
+    assert [x.value for x in df.filter("sequence = 1").orderBy("key").collect()] == [b"here", b"here"]
+    assert list(backend.as_objects(kv.load(df).select("key", "sequence"), Record)) == [Record("a", 2)]
+
+
+def test_reports_and_replicas(spark, tmp_path):
+    from braidlake.sources import reports
+
+    own = store.Store(spark, str(tmp_path / "s"))
+    own.publish({"t": spark.range(4)})
+    assert reports.status(own) == {"id": own.identity(), "versions": 1, "last": 1, "unreferenced": 0} and reports.verify(own) == {"versions": {"1": []}}
+    told = reports.inspect(own)
+    assert told["tables"]["t"]["columns"] == ["id bigint"] and '"rows": 4' in reports.as_json(told) and "rows: 4" in reports.as_text(told)
+    assert reports.progress(spark.createDataFrame([(1, 3, 9), (2, 4, 4)], "origin long, applied long, observed long")) == {"origins": 2, "behind": 6}
+    locked = store.sealed(spark.createDataFrame([("a",)], "t string"), ["t"], b"0123456789abcdef", "k", "x")
+    assert reports.keys({"one": locked, "two": locked}) == {"tables": {"one": {"k": 1}, "two": {"k": 1}}, "shared": ["k"]}
+    state.export_replica(str(tmp_path / "r"), spark.range(3), spark.range(1))
+    assert [df.count() for df in state.import_replica(spark, str(tmp_path / "r"))] == [3, 1]
+
+
+def test_file_lifecycle(spark):
+    shape = "name string, digest string, bytes long, generation long, millis long, node long, deleted boolean"
+    empty = spark.createDataFrame([], shape)
+    up = lambda text: spark.createDataFrame([("f", bytearray(text)), ("g", bytearray(b""))], "name string, content binary")
+    at = lambda n: (F.lit(n).cast("long"), F.lit(1).cast("long"))
+    one = files.put(files.put(empty, up(b"x"), *at(1)), up(b"yy"), *at(2))
+    assert [(x.name, x.bytes, x.generation) for x in files.listed(one).collect()] == [("f", 2, 1), ("g", 0, 1)]
+    gone = files.removed(one, spark.createDataFrame([("f",), ("none",)], "name string"), *at(3))
+    assert [x.name for x in files.listed(gone).collect()] == ["g"] and gone.count() == one.count() + 1
+
+
+def test_indexes_are_replaced_at_once(spark, tmp_path):
+    docs, all_ = spark.createDataFrame([(1, "cats", "x")], "id long, t string, u string"), search.Indexes(spark, str(tmp_path))
+    all_.replace({"t": ("id", "t", "unicode61")}, docs)
+    with pytest.raises(Exception):  # noqa: B017  a column that is not there
+        all_.replace({"u": ("id", "u", "porter"), "v": ("id", "gone", "ascii")}, docs)
+    assert list(all_.held) == ["t"]
+    kept = all_["t"]
+    all_.replace({"t": ("id", "t", "unicode61"), "u": ("id", "u", "porter")}, docs)
+    assert all_["t"] is kept and all_["u"].postings(["x"]).count() == 1
+
+
+def test_snapshots(spark):
+    body = spark.createDataFrame([("s", 0, bytearray(b"a")), ("s", 1, bytearray(b"b")), ("r", 0, bytearray(b"c"))], "name string, chunk long, body binary")
+    assert got(chunks.received(chunks.manifest(body), body.filter("chunk = 0"))) == [("r", True), ("s", False)]
+    pins = spark.createDataFrame([("x", 1, 5, datetime.datetime(2024, 1, 2)), ("y", 1, 3, datetime.datetime(2024, 1, 1))], "snapshot string, origin long, floor long, expires timestamp")
+    assert [x.snapshot for x in chunks.live_pins(pins, F.lit("2024-01-01 12:00:00").cast("timestamp")).collect()] == ["x"]
