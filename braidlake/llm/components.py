@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidlake.llm.common import cut
+from braidlake.llm.common import cut, discard
 
 
 def _sign(edges: DataFrame) -> tuple:
@@ -18,9 +18,9 @@ def connected_components(links: DataFrame, u: str, v: str) -> DataFrame:
 
     Alternates large stars (a node's larger neighbours are linked to its least neighbour) and small stars (its smaller
     ones), on which a table of links ends as one star per component, in a number of rounds that grows with the logarithm of the nodes.
-    No step gathers a node's neighbours: least neighbours are an aggregate, and rows meet them in a join.
+    A link to a null or to itself is none. No step gathers a node's neighbours: least neighbours are an aggregate, and rows meet them in a join.
     """
-    edges = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter(F.col("u") != F.col("v")).distinct()
+    edges = links.filter(F.col(u).isNotNull() & F.col(v).isNotNull()).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter(F.col("u") != F.col("v")).distinct()
     edges = cut(edges, "edges")
     sign = _sign(edges)
     while sign[0]:
@@ -30,7 +30,8 @@ def connected_components(links: DataFrame, u: str, v: str) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
         small = large.join(least, F.col("u") == F.col("w"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
-        edges = cut(small.filter(F.col("u") != F.col("v")).distinct(), "edges")
+        old, edges = edges, cut(small.filter(F.col("u") != F.col("v")).distinct(), "edges")
+        discard(old)
         before, sign = sign, _sign(edges)
         if sign == before:
             break

@@ -151,6 +151,22 @@ SQL = {
         )
         SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM s
         WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""",
+    "op4_suffix_array_dedup": f"""
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents
+        ), w AS (
+            SELECT doc_id, i, md5(t[i + 1 : i + {suffixes.LENGTH}]) AS m FROM (SELECT doc_id, t, unnest(range(n - {suffixes.LENGTH} + 1)) AS i FROM d WHERE n >= {suffixes.LENGTH})
+        ), s AS (SELECT doc_id, i FROM w WHERE m IN (SELECT m FROM w GROUP BY 1 HAVING count(*) > 1)
+        ), g AS (
+            SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {suffixes.LENGTH} THEN 1 ELSE 0 END AS new FROM s
+        ), runs AS (
+            SELECT doc_id, min(i) AS a, max(i) + {suffixes.LENGTH} AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g) GROUP BY doc_id, k
+        ), cuts AS (
+            SELECT doc_id, b AS a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), 9223372036854775807) AS b FROM (SELECT doc_id, a, b FROM runs UNION ALL SELECT doc_id, -1, 0 FROM d)
+        ), kept AS (
+            SELECT doc_id, string_agg(hex(t[a + 1 : least(b, n)]), '' ORDER BY a) AS h FROM cuts JOIN d USING (doc_id) WHERE a < least(b, n) GROUP BY 1
+        )
+        SELECT doc_id, n AS n_bytes, coalesce(r.gone, 0)::BIGINT AS n_removed, coalesce(r.spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(h, ''))) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans FROM runs GROUP BY 1) r USING (doc_id)""",
     "op6_quality_rules": rf"""
         WITH d AS (
             SELECT doc_id, source, text, regexp_extract_all(coalesce(text, ''), '{W}') AS w,

@@ -527,3 +527,28 @@ def test_whole_licenses(spark):
     rows += [(None, "这是一篇文章。\nReleased under the MIT License."), (None, "Это текст. " + text["MIT"]), (None, text["MIT"][:-300]), (None, text["ISC"].split("\n\n")[0]), ("MIT-notice", "Released under the MIT License.")]
     got = {x.doc_id: x.license_id for x in licenses.scan(frame(spark, [(k, t, "s") for k, (_, t) in enumerate(rows)])).collect()}
     assert [got[k] for k in range(len(rows))] == [n and n.removesuffix("-Regents") for n, _ in rows]
+
+
+def test_licenses_on_odd_rows(spark):
+    from braidlake.llm import licenses
+
+    text = (__import__("pathlib").Path(licenses.__file__).parent / "license_texts" / "MIT.txt").read_text()
+    rows = [(1, text, "s"), (1, text, "s"), (None, text, "s"), (2, text + " more " * 200_000, "s"), (3, "", "s"), (4, " \n", "s"), (5, None, "s")]
+    got = sorted(map(str, ((x.doc_id, x.license_id) for x in licenses.scan(frame(spark, rows)).collect())))
+    assert got == sorted(map(str, [(1, "MIT"), (1, "MIT"), (None, "MIT"), (2, None), (3, None), (4, None), (5, None)]))
+    assert licenses.scan(frame(spark, [])).count() == 0 and licenses.scan(frame(spark, rows)).columns == ["doc_id", "digest", "license_id"]
+
+
+def test_long_texts_in_rules_and_mixes(spark):
+    long_ = words(70, 60_000)
+    rows = [(1, long_, "a"), (2, long_, "a"), (3, words(71, 80), "a"), (4, words(72, 80), None)]
+    got = {x.doc_id: x for x in quality.quality_rules(frame(spark, rows)).collect()}
+    assert got[1].n_words == got[2].n_words == 60_000 and got[1].word_chars == len(long_.replace(" ", "")) and got[1].kept
+    mixed = {x.doc_id: x for x in mixing.mix_sources(frame(spark, rows)).collect()}
+    assert mixed[1].size == 60_000 and all(x.taken <= 3 * x.size for x in mixed.values()) and mixed[4].source_size == 80
+
+
+def test_components_leave_out_nulls(spark):
+    links = [(1, 2), (None, 3), (4, None), (None, None), (2, 2), (2, 1)]
+    got = connected_components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()
+    assert list(map(tuple, got)) == [(2, 1)]

@@ -117,3 +117,16 @@ def test_stages_keep_one_row_of_repeated_rows_and_null_ids(spark):
     want = sorted([("1", own), ("None", nulls), ("2", other), ("1", rows[9][1]), ("7", hot)])
     assert sorted((str(x.doc_id), x.text) for x in kept.collect()) == want
     assert sorted((str(x.doc_id), x.text) for x in corpus_pipeline.repeated_string_stage(spark, kept, "").collect()) == want
+
+
+def test_later_stages_on_nulls(spark):
+    """Stages after the first on rows that the first would not let through."""
+    rows = [(None, None, None, None, None), (1, None, "en", "a", 0), (1, "", None, "a", 0), (2, " ", "en", None, 1), (3, words(80, 90), None, None, None), (3, words(80, 90), None, None, None)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    kept = cut(corpus_pipeline.near_duplicate_stage(spark, frame, ""), "kept")
+    assert sorted((str(x.doc_id), x.text or "") for x in kept.collect()) == sorted([("None", ""), ("1", ""), ("1", ""), ("2", " "), ("3", words(80, 90))])
+    left = cut(corpus_pipeline.repeated_string_stage(spark, kept, ""), "left")
+    assert sorted((str(x.doc_id), x.text) for x in left.collect()) == sorted([("None", ""), ("1", ""), ("1", ""), ("2", " "), ("3", words(80, 90))])
+    mixed = cut(corpus_pipeline.mixing_stage(spark, left, ""), "mixed")
+    assert {x.doc_id for x in mixed.collect()} == {3}
+    assert {x.doc_id: x.n_tokens for x in corpus_pipeline.encoding_stage(spark, frame, "").collect() if x.doc_id != 3} == {None: 0, 1: 0, 2: 0}
