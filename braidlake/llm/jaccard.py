@@ -9,9 +9,9 @@ combination with the prefix of every set that has t tokens in common. So a key s
 The class of a token decides the cost alone, never the result. It is read from two bitmaps of fixed size, so tokens that share a
 bit with a frequent one count as frequent.
 
-Documents under a key meet as sketches: bit h mod m of a set's parity says whether an odd number of its tokens hash there, so two sets
-differ in at least as many tokens as their parities differ in bits. Of the pairs that this leaves, those that join two components of a key are
-verified on whole sets, by an independent second hash of the texts. The keys of which a pair fails meet again, now with their documents' tokens in 24 bits each
+The keys under which one document is the first are taken together as its group; documents of a group meet as sketches: bit h mod m of a set's parity says whether an odd number of its tokens hash there, so two sets
+differ in at least as many tokens as their parities differ in bits. Of the pairs that this leaves, those that join two components of a group are
+verified on whole sets, by an independent second hash of the texts. The groups of which a pair fails meet again, now with their documents' tokens in 24 bits each
 beside the sketches, so that almost no pair is left that is not similar; should one fail again, another 24 bits are taken, until none does.
 """
 
@@ -37,7 +37,7 @@ SHINGLE_WORDS, PERCENT = 4, 85
 LOCAL, FLUSH, PAIRS, TRIPLES = 8, 1 << 21, 128, 4096
 #: Bits of each bitmap of frequent tokens.
 MARKS = 1 << 22
-#: Documents of a key that are compared in one piece.
+#: Documents of a group that are compared in one piece.
 BLOCK = 2048
 #: Bytes of texts that are verified at once, and documents compared with a first one in one piece.
 SLICE, LED = 1 << 20, 4096
@@ -399,10 +399,10 @@ def verified(pairs: DataFrame, base: DataFrame, words: int, percent: int) -> Dat
 
 
 def _units(members: DataFrame, mains: DataFrame | None) -> DataFrame:
-    """Members (group, m, first, node, comp, n, parity, exact) with (row, col, asks): the pieces in which the documents of a key are compared.
+    """Members (group, m, node, comp, n, parity, exact) with (row, col, asks): the pieces in which the documents of a group are compared.
 
-    ``mains`` has (g, all, some, main): how many documents a key has, how many of them are outside the component of its first one, and that one; None if every
-    document is its own. Documents outside it ask and all of a key are asked; a key of over BLOCK documents is a grid of pieces.
+    ``mains`` has (g, all, some, main): how many documents a group has, how many of them are outside the component of its first one, and that one; None if every
+    document is its own. Documents outside it ask and all of a group are asked; a group of over BLOCK documents is a grid of pieces.
     """
     zero = F.lit(0).cast("long")
     columns = ["group", "row", "col", "node", "comp", "n", "parity", "asks", "exact"]
@@ -422,8 +422,8 @@ def _units(members: DataFrame, mains: DataFrame | None) -> DataFrame:
 
 
 def main_components(members: DataFrame) -> DataFrame:
-    """(g, all, some, main) of the keys of members: see ``_units``."""
-    first = F.max(F.when(F.col("node") == F.col("first"), F.col("comp")))
+    """(g, all, some, main) of the groups of members: see ``_units``."""
+    first = F.max(F.when(F.col("node") == F.col("group"), F.col("comp")))
     comps = members.groupBy("group", "comp").agg(F.count(F.lit(1)).alias("n"), first.alias("own"))
     main = F.max("own").over(Window.partitionBy("group"))
     comps = comps.withColumn("main", main).groupBy(F.col("group").alias("g")).agg(F.sum("n").alias("all"), F.sum(F.when(F.col("comp") != F.col("main"), F.col("n")).otherwise(0)).alias("some"), F.max("main").alias("main"))
@@ -444,17 +444,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(base.filter(F.col("n") > 0).groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.min("row").alias("node")), "classes")
     own = cut(base.select("row", "n", "parity", "keys").join(classes.select("node"), F.col("row") == F.col("node"), "left_semi"), "own")
     keyed = own.select(F.col("row").alias("node"), F.explode("keys").alias("key"))
-    # keys under which the very same documents stand are one: their documents' hashes have the same sums
-    low = F.xxhash64("node").bitwiseAND(F.lit(0xFFFFFFFF))
-    high = F.shiftrightunsigned(F.xxhash64("node"), 32)
-    groups = (
-        keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(high).alias("s1"), F.sum(low).alias("s2"), F.min("node").alias("first"))
-        .filter(F.col("m") > 1)
-        .groupBy("m", "s1", "s2", "first").agg(F.min("key").alias("group"))
-    )
-    members = keyed.join(groups.select("group", "m", "first"), F.col("key") == F.col("group")).select("group", "m", "first", "node")
-    members = members.join(own.select("row", "n", "parity"), F.col("node") == F.col("row")).select("group", "m", "first", "node", "n", "parity")
-    members = cut(members.withColumn("comp", F.col("node")), "members")
+    # the keys of one first document are taken together: near copies share many keys, and so meet there once
+    firsts = keyed.groupBy(F.col("key").alias("of")).agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("group")).filter(F.col("m") > 1).select("of", "group")
+    met = cut(keyed.join(firsts, F.col("key") == F.col("of")).select("group", "node").distinct(), "met")
+    sizes = met.groupBy(F.col("group").alias("g")).agg(F.count(F.lit(1)).alias("m"))
+    members = met.join(sizes, F.col("group") == F.col("g")).join(own.select("row", "n", "parity"), F.col("node") == F.col("row"))
+    members = cut(members.select("group", "m", "node", "n", "parity", F.col("node").alias("comp")), "members")
+    discard(met)
     links = cut(docs.sparkSession.createDataFrame([], "u long, v long"), "links")
     tested, found = links, None
 
@@ -467,9 +463,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = connected_components(links, "u", "v")
 
     def apart(rows: DataFrame) -> DataFrame:
-        """Those ``rows`` of members whose key holds several components, with these as they now are."""
+        """Those ``rows`` of members whose group holds several components, with these as they now are."""
         now = rows.drop("comp").join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
-        now = now.select("group", "m", "first", "node", "n", "parity", F.coalesce("component", "node").alias("comp"))
+        now = now.select("group", "m", "node", "n", "parity", F.coalesce("component", "node").alias("comp"))
         several = now.groupBy(F.col("group").alias("g")).agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter(F.col("c1") != F.col("c2"))
         out = cut(now.join(several.select("g"), F.col("group") == F.col("g"), "left_semi"), "apart")
         discard(rows)
@@ -478,10 +474,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     large = members.filter(F.col("m") > BLOCK)
     mains = None
     if not large.isEmpty():
-        # of a key of many documents, first all with the first one: most are like it as a rule
-        leaders = large.filter(F.col("node") == F.col("first")).select(F.col("group").alias("led"), F.col("n").alias("n_u"), F.col("parity").alias("p_u"))
-        near = large.filter(F.col("node") != F.col("first")).join(leaders, F.col("group") == F.col("led"))
-        near = near.select("group", F.col("first").alias("u"), F.col("node").alias("v"), "n_u", "p_u", F.col("n").alias("n_v"), F.col("parity").alias("p_v"))
+        # of a group of many documents, first all with the first one: most are like it as a rule
+        leaders = large.filter(F.col("node") == F.col("group")).select(F.col("group").alias("led"), F.col("n").alias("n_u"), F.col("parity").alias("p_u"))
+        near = large.filter(F.col("node") != F.col("group")).join(leaders, F.col("group") == F.col("led"))
+        near = near.select("group", F.col("group").alias("u"), F.col("node").alias("v"), "n_u", "p_u", F.col("n").alias("n_v"), F.col("parity").alias("p_v"))
         pairs = cut(near.mapInArrow(tidy(_led(percent)), "group long, u long, v long"), "pairs")
         told(pairs)
         discard(pairs)
@@ -495,13 +491,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             units = _units(members.join(exact, F.col("node") == F.col("row")).drop("row"), mains)
         pairs = cut(units.mapInArrow(tidy(_candidates(percent)), "group long, u long, v long"), "pairs")
         told(pairs)
-        # a key of which no pair failed is done: its documents' components are as its pairs made them
+        # a group of which no pair failed is done: its documents' components are as its pairs made them
         again = pairs.join(links, ["u", "v"], "left_anti").select(F.col("group").alias("left")).distinct()
         again = cut(again, "again")
         discard(pairs, mains, exact)
         if again.isEmpty():
             break
-        members = apart(cut(members.join(again, F.col("group") == F.col("left"), "left_semi"), "open"))
+        old, members = members, apart(cut(members.join(again, F.col("group") == F.col("left"), "left_semi"), "open"))
+        discard(old)
         mains = cut(main_components(members), "mains")
         some = members.select(F.col("node").alias("asked")).distinct()
         exact = base.select("row", "packed").join(some, F.col("row") == F.col("asked"), "left_semi")
