@@ -89,9 +89,13 @@ def merge_patch(spark, d):
     return merge.patch(*_before_after(spark, d), "o_orderkey", ["o_orderstatus", "o_totalprice"])
 
 
-@query(_PATCH)
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 9 = 1 THEN 'added' WHEN c_custkey % 9 = 2 THEN 'removed' ELSE 'updated' END AS change, CASE WHEN c_custkey % 9 = 4 THEN 'moved' WHEN c_custkey % 9 = 1 THEN c_mktsegment END AS c_mktsegment
+    FROM customer WHERE c_acctbal > 0 AND c_custkey % 9 IN (1, 2, 4)""")
 def live_diff(spark, d):
-    return merge.patch(*_before_after(spark, d), "o_orderkey", ["o_orderstatus", "o_totalprice"])
+    """What a subscriber to the customers in credit hears of a batch."""
+    c = table(spark, d, "customer").filter("c_acctbal > 0").select("c_custkey", "c_mktsegment")
+    now = c.filter("c_custkey % 9 <> 2").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 9 == 4, F.lit("moved")).otherwise(F.col("c_mktsegment")))
+    return merge.patch(c.filter("c_custkey % 9 <> 1"), now, "c_custkey", ["c_mktsegment"])
 
 
 @query("SELECT o_orderkey AS key, CASE WHEN o_orderkey % 10 = 2 THEN NULL WHEN o_orderkey % 10 = 3 THEN o_totalprice + 1 ELSE o_totalprice END AS value, "
@@ -188,10 +192,10 @@ def compact_latest(spark, d):
     return kv.compact(table(spark, d, "events"), "user_id", "event_id", "value")
 
 
-@query("SELECT 'f' || (o_orderkey % 20) AS name, o_orderkey // 20 AS chunk FROM orders WHERE FALSE UNION ALL SELECT 'f' || n, c FROM range(20) a(n), range(50) b(c) WHERE NOT EXISTS (SELECT 1 FROM events WHERE event_id % 20 = n AND event_id // 20 % 60 = c AND event_id % 7 = 0)")
+@query("SELECT 'f' || (o_orderkey % 20) AS name, o_orderkey // 20 AS chunk FROM orders WHERE FALSE UNION ALL SELECT 'f' || n, c FROM range(20) a(n), range(80) b(c) WHERE NOT EXISTS (SELECT 1 FROM events WHERE event_id % 20 = n AND event_id // 20 % 60 = c AND event_id % 7 = 0)")
 def chunk_missing(spark, d):
     have = table(spark, d, "events").filter("event_id % 7 = 0").select(F.concat(F.lit("f"), F.col("event_id") % 20).alias("name"), (F.floor(F.col("event_id") / 20) % 60).alias("chunk")).distinct()
-    total = spark.range(20).select(F.concat(F.lit("f"), F.col("id")).alias("name"), F.lit(50).cast("long").alias("total"))
+    total = spark.range(20).select(F.concat(F.lit("f"), F.col("id")).alias("name"), F.lit(80).cast("long").alias("total"))
     return chunks.missing_chunks(have, total)
 
 
@@ -330,12 +334,12 @@ SHARED = {
     "join_inner": "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
     "join_left": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
     "join_full": "SELECT c.c_custkey, s.s_suppkey FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) c FULL JOIN supplier s ON c.c_custkey = s.s_suppkey",
-    "join_semi": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 1000)",
-    "join_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "join_semi": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)",
+    "join_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)",
     "join_cross": "SELECT n_name, r_name FROM nation CROSS JOIN region",
     "join_theta": "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey",
     "join_range": "SELECT p.p_partkey, n.n_nationkey FROM part p JOIN nation n ON p.p_size BETWEEN n.n_nationkey AND n.n_nationkey + 2",
-    "join_nullsafe": "SELECT count(*) AS n FROM (SELECT nullif(n_regionkey, 0) AS k FROM nation) a JOIN (SELECT nullif(r_regionkey, 0) AS k FROM region) b ON a.k IS NOT DISTINCT FROM b.k",
+    "join_nullsafe": "SELECT n_name, r_name, a.k FROM (SELECT n_name, nullif(n_regionkey, 0) AS k FROM nation) a JOIN (SELECT r_name, nullif(r_regionkey, 0) AS k FROM region) b ON a.k IS NOT DISTINCT FROM b.k",
     "subquery_scalar": "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)",
     "subquery_exists": "SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey = s_nationkey AND n_regionkey = 1)",
     "agg_group": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS q, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus",
@@ -353,7 +357,7 @@ SHARED = {
     "win_groups": "SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderstatus ORDER BY g RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM (SELECT *, dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate) AS g FROM orders) x",
     "set_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "set_intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
-    "set_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "set_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 400000",
     "topk": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20",
     "limit_offset": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 25",
     "cte_recursive": "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 50) SELECT n FROM t",
