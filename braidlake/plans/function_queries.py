@@ -36,10 +36,10 @@ def fn_printf(spark, d):
     return table(spark, d, "orders").select("o_orderkey", values.printf("%05d|%s|%x", F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderkey")).alias("t"))
 
 
-@query("""SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS t, strftime(ts, '%j') AS j, floor(epoch(ts))::BIGINT::VARCHAR AS s, round(julian(ts), 6) AS jd, date_trunc('month', ts) + INTERVAL 3 DAY AS m FROM events""")
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS t, strftime(ts, '%j') AS j, floor(epoch(ts))::BIGINT::VARCHAR AS s, round(julian(ts), 3) AS jd, date_trunc('month', ts) + INTERVAL 3 DAY AS m FROM events""")
 def fn_datetime(spark, d):
     e = events(spark, d)
-    out = e.select("event_id", values.strftime("%Y-%m-%d %H:%M:%S", F.col("ts")).alias("t"), values.strftime("%j", F.col("ts")).alias("j"), values.strftime("%s", F.col("ts")).alias("s"), F.round(values.julianday(F.col("ts")) + 0.5, 6).alias("jd"), values.datetime_shift(F.col("ts"), "start of month", "+3 days").cast("timestamp_ntz").alias("m"))
+    out = e.select("event_id", values.strftime("%Y-%m-%d %H:%M:%S", F.col("ts")).alias("t"), values.strftime("%j", F.col("ts")).alias("j"), values.strftime("%s", F.col("ts")).alias("s"), F.round(values.julianday(F.col("ts")) + 0.5, 3).alias("jd"), values.datetime_shift(F.col("ts"), "start of month", "+3 days").cast("timestamp_ntz").alias("m"))
     return out
 
 
