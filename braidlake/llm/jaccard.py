@@ -109,8 +109,8 @@ def prefix_keys(tokens: np.ndarray, marks: tuple[np.ndarray, np.ndarray], percen
 
 
 def parity(tokens: np.ndarray) -> bytes:
-    """The parity of a set in 1 to 2 bits a token, at least 64; one of twice the bits folds into it by exclusive or of its halves."""
-    bits = max(64, 2 << (max(len(tokens), 1).bit_length() - 1))
+    """The parity of a set in 4 to 8 bits a token, at least 64; one of twice the bits folds into it by exclusive or of its halves."""
+    bits = max(64, 8 << (max(len(tokens), 1).bit_length() - 1))
     places = (mix(tokens ^ np.uint64(0x8EBC6AF09C88C6E3)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(places, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -302,30 +302,24 @@ def _led(percent: int):
     return run
 
 
-def _candidates(percent: int):
-    """Rows (group, row, col, node, comp, n, parity, asks, exact), those of a (group, row, col) one after another, to (group, u, v)."""
+def likely_places(comps: list, n: np.ndarray, parities: list[bytes], asks: np.ndarray, percent: int) -> list[int]:
+    """Places of the documents that their sketches let be similar to one of another component; one of the two asks."""
+    sketches, comp = Sketches(n, parities, percent), np.array(comps, dtype=np.int64)
+    out = np.zeros(len(comp), dtype=bool)
+    for i in np.flatnonzero(asks).tolist():
+        others = np.flatnonzero(comp != comp[i])
+        others = others[sketches.distances(i, others) >= 0]
+        out[others] = True
+        out[i] |= bool(others.size)
+    return np.flatnonzero(out).tolist()
 
-    def whole(table: pa.Table) -> Iterator[tuple]:
-        g, row, col = (table.column(k).to_numpy() for k in range(3))
-        edges = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (row[1:] != row[:-1]) | (col[1:] != col[:-1]), [True])))
-        ids, comps, odd, packed = (table.column(k).to_pylist() for k in (3, 4, 6, 8))
-        n, asks = table.column(5).to_numpy(), table.column(7).to_numpy()
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if b - a < 2:
-                continue
-            # a document that both asks and is asked may stand here twice: once, as one that asks
-            last = {}
-            for k in range(a, b):
-                if ids[k] not in last or asks[k]:
-                    last[ids[k]] = k
-            rows = list(last.values())
-            tokens = None if packed[a] is None else [packed[k] for k in rows]
-            for i, j in joining_pairs([ids[k] for k in rows], [comps[k] for k in rows], n[rows], [odd[k] for k in rows], asks[rows], percent, tokens):
-                yield int(g[a]), *sorted((ids[rows[i]], ids[rows[j]]))
+
+def _pieces(each, names: list[str]):
+    """An Arrow function over rows (group, row, col, ...), those of a (group, row, col) one after another: ``each`` gives whole numbers of a table of whole pieces."""
 
     def found(table: pa.Table) -> pa.RecordBatch:
-        pairs = list(whole(table))
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(3)], ["group", "u", "v"])
+        rows = list(each(table))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -339,7 +333,47 @@ def _candidates(percent: int):
         if held is not None and len(held):
             yield found(held)
 
-    return run
+    return tidy(run)
+
+
+def _edges(table: pa.Table) -> Iterator[tuple[int, int]]:
+    g, row, col = (table.column(k).to_numpy() for k in range(3))
+    at = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (row[1:] != row[:-1]) | (col[1:] != col[:-1]), [True])))
+    return ((a, b) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) if b - a > 1)
+
+
+def _likely(percent: int):
+    """Rows (group, row, col, node, comp, n, parity, asks, exact) to the (group, node) that may be similar to one of another component."""
+
+    def each(table: pa.Table) -> Iterator[tuple]:
+        g, ids, comps, odd = (table.column(k).to_pylist() for k in (0, 3, 4, 6))
+        n, asks = table.column(5).to_numpy(), table.column(7).to_numpy()
+        for a, b in _edges(table):
+            for k in likely_places(comps[a:b], n[a:b], odd[a:b], asks[a:b], percent):
+                yield g[a], ids[a + k]
+
+    return _pieces(each, ["group", "node"])
+
+
+def _candidates(percent: int):
+    """Rows (group, row, col, node, comp, n, parity, asks, exact) to pairs (group, u, v)."""
+
+    def whole(table: pa.Table) -> Iterator[tuple]:
+        g = table.column(0).to_numpy()
+        ids, comps, odd, packed = (table.column(k).to_pylist() for k in (3, 4, 6, 8))
+        n, asks = table.column(5).to_numpy(), table.column(7).to_numpy()
+        for a, b in _edges(table):
+            # a document that both asks and is asked may stand here twice: once, as one that asks
+            last = {}
+            for k in range(a, b):
+                if ids[k] not in last or asks[k]:
+                    last[ids[k]] = k
+            rows = list(last.values())
+            tokens = None if packed[a] is None else [packed[k] for k in rows]
+            for i, j in joining_pairs([ids[k] for k in rows], [comps[k] for k in rows], n[rows], [odd[k] for k in rows], asks[rows], percent, tokens):
+                yield int(g[a]), *sorted((ids[rows[i]], ids[rows[j]]))
+
+    return _pieces(whole, ["group", "u", "v"])
 
 
 def _shortened(n: int, salt: int):
@@ -425,7 +459,8 @@ def main_components(members: DataFrame) -> DataFrame:
     """(g, all, some, main) of the groups of members: see ``_units``."""
     first = F.max(F.when(F.col("node") == F.col("group"), F.col("comp")))
     comps = members.groupBy("group", "comp").agg(F.count(F.lit(1)).alias("n"), first.alias("own"))
-    main = F.max("own").over(Window.partitionBy("group"))
+    # where the first document is not among the members any more, any component will do
+    main = F.coalesce(F.max("own").over(Window.partitionBy("group")), F.min("comp").over(Window.partitionBy("group")))
     comps = comps.withColumn("main", main).groupBy(F.col("group").alias("g")).agg(F.sum("n").alias("all"), F.sum(F.when(F.col("comp") != F.col("main"), F.col("n")).otherwise(0)).alias("some"), F.max("main").alias("main"))
     return comps
 
@@ -450,7 +485,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = met.groupBy(F.col("group").alias("g")).agg(F.count(F.lit(1)).alias("m"))
     members = met.join(sizes, F.col("group") == F.col("g")).join(own.select("row", "n", "parity"), F.col("node") == F.col("row"))
     members = cut(members.select("group", "m", "node", "n", "parity", F.col("node").alias("comp")), "members")
-    discard(met)
+    discard(met, own)
     links = cut(docs.sparkSession.createDataFrame([], "u long, v long"), "links")
     tested, found = links, None
 
@@ -489,7 +524,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             units = _units(members.withColumn("exact", F.lit(None).cast("binary")), mains)
         else:
             units = _units(members.join(exact, F.col("node") == F.col("row")).drop("row"), mains)
-        pairs = cut(units.mapInArrow(tidy(_candidates(percent)), "group long, u long, v long"), "pairs")
+        pairs = cut(units.mapInArrow(_candidates(percent), "group long, u long, v long"), "pairs")
         told(pairs)
         # a group of which no pair failed is done: its documents' components are as its pairs made them
         again = pairs.join(links, ["u", "v"], "left_anti").select(F.col("group").alias("left")).distinct()
@@ -500,6 +535,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         old, members = members, apart(cut(members.join(again, F.col("group") == F.col("left"), "left_semi"), "open"))
         discard(old)
         mains = cut(main_components(members), "mains")
+        # tokens travel only for documents that may be similar to one of another component
+        few = _units(members.withColumn("exact", F.lit(None).cast("binary")), mains).mapInArrow(_likely(percent), "group long, node long")
+        few = cut(few.distinct().select(F.col("group").alias("fg"), F.col("node").alias("fn")), "likely")
+        old, members = members, cut(members.join(few, (F.col("group") == F.col("fg")) & (F.col("node") == F.col("fn")), "left_semi"), "few")
+        discard(old, few)
         some = members.select(F.col("node").alias("asked")).distinct()
         exact = base.select("row", "packed").join(some, F.col("row") == F.col("asked"), "left_semi")
         exact = cut(exact.mapInArrow(tidy(_shortened(words, salt)), "row long, exact binary"), "exact")
