@@ -17,6 +17,7 @@ beside the sketches, so that almost no pair is left that is not similar; should
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -481,11 +482,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = own.select(F.col("row").alias("node"), F.explode("keys").alias("key"))
     # the keys of one first document are taken together: near copies share many keys, and so meet there once
     firsts = keyed.groupBy(F.col("key").alias("of")).agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("group")).filter(F.col("m") > 1).select("of", "group")
-    met = cut(keyed.join(firsts, F.col("key") == F.col("of")).select("group", "node").distinct(), "met")
-    sizes = met.groupBy(F.col("group").alias("g")).agg(F.count(F.lit(1)).alias("m"))
-    members = met.join(sizes, F.col("group") == F.col("g")).join(own.select("row", "n", "parity"), F.col("node") == F.col("row"))
+    met = keyed.join(firsts, F.col("key") == F.col("of")).select("group", "node").distinct()
+    # a document goes on in a group if another there is of about its size: similar sets are of one class of sizes or of neighbouring ones
+    size = F.floor(F.ln("n") / F.lit(1.000001 * math.log(100 / percent))) if percent < 100 else F.col("n")
+    met = cut(met.join(own.select("row", "n"), F.col("node") == F.col("row")).select("group", "node", size.alias("size")), "met")
+    about = met.groupBy("group", "size").agg(F.count(F.lit(1)).alias("c")).select(F.col("group").alias("g"), F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("s"), "c")
+    about = about.groupBy("g", "s").agg(F.sum("c").alias("c")).filter(F.col("c") > 1).select("g", "s")
+    light = cut(met.join(about, (F.col("group") == F.col("g")) & (F.col("size") == F.col("s")), "left_semi").select("group", "node"), "light")
+    sizes = light.groupBy(F.col("group").alias("g")).agg(F.count(F.lit(1)).alias("m"))
+    members = light.join(sizes, F.col("group") == F.col("g")).join(own.select("row", "n", "parity"), F.col("node") == F.col("row"))
     members = cut(members.select("group", "m", "node", "n", "parity", F.col("node").alias("comp")), "members")
-    discard(met, own)
+    discard(met, light, own)
     links = cut(docs.sparkSession.createDataFrame([], "u long, v long"), "links")
     tested, found = links, None
 
