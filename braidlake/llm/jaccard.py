@@ -110,8 +110,8 @@ def prefix_keys(tokens: np.ndarray, marks: tuple[np.ndarray, np.ndarray], percen
 
 
 def parity(tokens: np.ndarray) -> bytes:
-    """The parity of a set in 4 to 8 bits a token, at least 64; one of twice the bits folds into it by exclusive or of its halves."""
-    bits = max(64, 8 << (max(len(tokens), 1).bit_length() - 1))
+    """The parity of a set in 2 to 4 bits a token, at least 64; one of twice the bits folds into it by exclusive or of its halves."""
+    bits = max(64, 4 << (max(len(tokens), 1).bit_length() - 1))
     places = (mix(tokens ^ np.uint64(0x8EBC6AF09C88C6E3)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(places, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
