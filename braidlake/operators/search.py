@@ -19,6 +19,8 @@ K1, B = 1.2, 0.75
 PARTS, TILE, ASKED = 64, 4096, 256
 #: Widths that a vector may have.
 MOST_WIDE = 8192
+#: Three code points ahead, line ends included, and a step of one.
+TRIGRAM = r"(?s)(?=(...))."
 WORDS = {"unicode61": r"([\p{L}\p{N}]+)", "ascii": r"([A-Za-z0-9]+)", "porter": r"([\p{L}\p{N}]+)"}
 
 
@@ -26,8 +28,8 @@ def tokens(text: Column, tokenizer: str = "unicode61") -> Column:
     """Column: a text's terms in order: unicode61 (letters and digits of all scripts), ascii, porter (stems of the former) or trigram."""
     low = F.lower(text)
     if tokenizer == "trigram":
-        n = F.length(low) - 2
-        return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+        # one pass over the text; a substring for each place would read it anew from its start
+        return F.coalesce(F.regexp_extract_all(low, F.lit(TRIGRAM), F.lit(1)), F.array().cast("array<string>"))
     if tokenizer not in WORDS:
         raise ValueError(f"no tokenizer {tokenizer}")
     return F.regexp_extract_all(low, F.lit(WORDS[tokenizer]), F.lit(1))

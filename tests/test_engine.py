@@ -3,6 +3,7 @@
 import datetime
 import os
 import random
+import time
 
 import duckdb
 import pytest
@@ -51,6 +52,29 @@ def test_overlay_release(spark):
     assert policies.overlay(low, own(False), "id", "v").collect() == [(1, 20)]
 
 
+def test_trigrams_of_odd_texts(spark):
+    texts = ["", "ab", "aBc", "aaaa", "a\nb\r\n\u2028c", "x\U0001f600\U0001f601y", "ÄÖÜ ß ΑΣ", "a\x00b ", None]
+    docs = spark.createDataFrame([*enumerate(texts), (2, "abcd")], "id long, t string")
+    want = sorted((k, g) for k, t in [*enumerate(texts), (2, "abcd")] for g in {(t or "").lower()[i : i + 3] for i in range(len(t or "") - 2)})
+    assert sorted(map(tuple, search.trigrams(docs, "id", "t").collect())) == want
+    assert docs.select(F.size(search.tokens(F.col("t"), "trigram")).alias("n")).filter("n IS NULL OR n < 0").count() == 0
+
+
+def test_trigrams_of_a_long_text_cost_as_those_of_short_ones(spark):
+    words = " ".join(random.Random(2).choices(["cent", "pour", "license", "that"], k=20_000))[:80_000]
+    long, short = [(0, words)], [(k, words[k * 1000 : (k + 1) * 1000]) for k in range(80)]
+
+    def took(rows):
+        docs, times = spark.createDataFrame(rows, "id long, t string").coalesce(1), []
+        for _ in range(2):
+            began = time.time()
+            assert search.trigrams(docs, "id", "t").filter("gram = 'cen'").count() == len(rows)
+            times.append(time.time() - began)
+        return min(times)
+
+    assert took(long) < 8 * took(short)
+
+
 @pytest.mark.parametrize(("metric", "want"), [("l2", 2**0.5), ("l1", 2.0), ("cosine", 1.0)])
 def test_knn(spark, metric, want):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None)], "id long, e array<float>")
